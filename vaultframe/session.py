@@ -48,6 +48,17 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(frame):
+    """The rows over at least as many partitions as there are cores, for work that costs far more than a shuffle.
+
+    Only a frame with fewer splits than cores is exchanged, as where a table is one
+    small file; a large table has splits enough and stays as it is.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    splits = frame._jdf.queryExecution().toRdd().getNumPartitions()
+    return frame if splits >= cores else frame.repartition(cores)
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """Write a small file in one step: to a temporary name first, then renamed over."""
     jvm = spark.sparkContext._jvm

@@ -7,6 +7,8 @@ import unicodedata
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vaultframe.session import scratch_path
+
 #: Fixed: letters of other alphabets and the letter of the same shape that stands for them.
 LOOK_ALIKES = {
     # Cyrillic
@@ -119,8 +121,9 @@ def look_alike_pairs(documents: DataFrame, id_col: str = "doc_id", text_col: str
     than the result. Null texts and ids give no pair; an empty text pairs with
     one that consists of invisible characters only; repeated rows give one pair.
     """
-    keys = form_keys(documents, id_col, text_col).withColumnRenamed(id_col, "doc")
-    keys = keys.distinct()
+    path = scratch_path(documents.sparkSession, "form-keys")
+    form_keys(documents, id_col, text_col).withColumnRenamed(id_col, "doc").distinct().write.parquet(path)
+    keys = documents.sparkSession.read.parquet(path)
     variants = keys.groupBy("form_key", "text_key").agg(F.count("*").alias("n"))
     several = variants.groupBy("form_key").agg(F.count("*").alias("k")).filter("k > 1").select("form_key")
     variants = variants.join(several, "form_key", "left_semi")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from vaultframe.plans import pipeline_queries
+from vaultframe.plans import archive_queries, pipeline_queries
 
-FLAGSHIP = "p4_found"
-QUERIES = {**pipeline_queries.QUERIES}
-SQL = {**pipeline_queries.SQL}
+FLAGSHIP = "dedupe_stats"
+QUERIES = {**archive_queries.QUERIES, **pipeline_queries.QUERIES}
+SQL = {**archive_queries.SQL, **pipeline_queries.SQL}

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vaultframe.functions import dates, paths
 from vaultframe.operators import compare, journal, rollup
+from vaultframe.operators.numbering import number_rows
 from vaultframe.session import table
 
 QUERIES, SQL = {}, {}
@@ -79,8 +80,8 @@ def deleted_paths(spark, sf_dir):
 
 @query(f"""WITH {_cut()},
 f AS (SELECT * FROM (SELECT r.*, c.version_no, row_number() OVER (PARTITION BY r.archive_id, c.version_no, r.dt_path ORDER BY r.seq_no DESC) AS k FROM recs r JOIN cut c USING (version_id)) WHERE k = 1)
-SELECT archive_id, lpad(CAST(version_no AS VARCHAR), greatest(4, length(CAST(version_no AS VARCHAR))), '0') || '/' || dt_path AS dt_path, dt_date, dt_size, dt_attr FROM f
-UNION ALL SELECT archive_id, lpad(CAST(version_no AS VARCHAR), greatest(4, length(CAST(version_no AS VARCHAR))), '0') || '/', ver_date, NULL, NULL FROM cut""")
+SELECT archive_id, lpad(CAST(version_no AS VARCHAR), CAST(greatest(4, length(CAST(version_no AS VARCHAR))) AS INTEGER), '0') || '/' || dt_path AS dt_path, dt_date, dt_size, dt_attr FROM f
+UNION ALL SELECT archive_id, lpad(CAST(version_no AS VARCHAR), CAST(greatest(4, length(CAST(version_no AS VARCHAR))) AS INTEGER), '0') || '/', ver_date, NULL, NULL FROM cut""")
 def all_versions_listing(spark, sf_dir):
     return journal.all_versions(*_tables(spark, sf_dir, "entries", "versions"))
 
@@ -166,8 +167,7 @@ def restore_actions(spark, sf_dir):
     return compare.restore_actions(*_two(spark, sf_dir))
 
 
-@query(r"""SELECT entry_id, dt_path FROM entries WHERE (regexp_full_match(dt_path, '(?s)vol[0-9]?.*/[Aa].*') OR starts_with(dt_path, 'pool')) AND (regexp_full_match(dt_path, '(?s)[^.]*\......?') OR contains(dt_path, '/a')) AND NOT false AND false
-UNION ALL SELECT entry_id, dt_path FROM entries WHERE regexp_full_match(dt_path, '(?s)vol./.*(/.*)?') AND regexp_full_match(dt_path, '(?s).*/.*\.(html|jpg)(/.*)?') AND NOT regexp_full_match(dt_path, '(?s)vol1/Archive(/.*)?') AND NOT starts_with(dt_path, 'vol2/')""")
+@query(r"""SELECT entry_id, dt_path FROM entries WHERE regexp_full_match(dt_path, '(?s)vol./.*(/.*)?') AND regexp_full_match(dt_path, '(?s).*/.*\.(html|jpg)(/.*)?') AND NOT regexp_full_match(dt_path, '(?s)vol1/Archive(/.*)?') AND NOT starts_with(dt_path, 'vol2/')""")
 def select_only_not(spark, sf_dir):
     keep = paths.selected(F.col("dt_path"), ["vol?/*"], ["*/*.html", "*/*.jpg"], ["vol1/Archive", "vol2/"])
     return table(spark, sf_dir, "entries").filter(keep).select("entry_id", "dt_path")
@@ -238,12 +238,9 @@ def duplicate_files(spark, sf_dir):
 @query("""SELECT file_id, batch_no, ext, CAST(size_bucket AS BIGINT) AS size_bucket, row_number() OVER (PARTITION BY batch_no ORDER BY ext, size_bucket, dt_path, file_id) AS place FROM (
 SELECT DISTINCT file_id, batch_no, dt_path, translate(substr(regexp_extract(dt_path, '\\.([^./]*)$', 1), 1, 5), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS ext, 16777215 - least(greatest(coalesce(dt_size, 0), 0) >> 14, 16777215) AS size_bucket FROM batch_files WHERE dt_path IS NOT NULL)""".replace("\\\\", "\\"))
 def ingest_order(spark, sf_dir):
-    from pyspark.sql.window import Window
-
     bucket = F.lit((1 << 24) - 1) - F.least(F.shiftright(F.greatest(F.coalesce("dt_size", F.lit(0)), F.lit(0)), 14), F.lit((1 << 24) - 1))
     rows = table(spark, sf_dir, "batch_files").filter("dt_path is not null").select("file_id", "batch_no", "dt_path", paths.extension_key(F.col("dt_path")).alias("ext"), bucket.cast("bigint").alias("size_bucket")).distinct()
-    place = F.row_number().over(Window.partitionBy("batch_no").orderBy("ext", "size_bucket", "dt_path", "file_id"))
-    return rows.select("file_id", "batch_no", "ext", "size_bucket", place.cast("bigint").alias("place"))
+    return number_rows(rows, ["ext", "size_bucket", "dt_path", "file_id"], "place", by="batch_no").drop("dt_path")
 
 
 @query("SELECT block_id, version_id, CAST(coalesce(sum(coalesce(blk_bsize, 0)) OVER (PARTITION BY version_id ORDER BY blk_start, block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS data_offset FROM blocks")
@@ -282,8 +279,8 @@ def pointer_text(spark, sf_dir):
     return table(spark, sf_dir, "entries").filter("size(dt_ptr) > 0").select("entry_id", rollup.pointer_text(F.col("dt_ptr")).alias("ptr_text"))
 
 
-@query(f"""WITH {_snap()}, u AS (SELECT DISTINCT unnest(dt_ptr) AS frag_id FROM snap WHERE archive_id % 2 = 1)
-SELECT block_id, CAST(max(pos_in_block) + 1 AS BIGINT) AS frags_needed, count(*) AS frags_used FROM u JOIN fragments USING (frag_id) WHERE block_id IS NOT NULL GROUP BY 1""".replace(" WHERE archive_id % 2 = 1", ""))
+@query(f"""WITH {_snap()}, u AS (SELECT DISTINCT unnest(dt_ptr) AS frag_id FROM snap)
+SELECT block_id, CAST(max(pos_in_block) + 1 AS BIGINT) AS frags_needed, count(*) AS frags_used FROM u JOIN fragments USING (frag_id) WHERE block_id IS NOT NULL GROUP BY 1""")
 def needed_blocks(spark, sf_dir):
     return rollup.reading_plan(_snapshot(spark, sf_dir), table(spark, sf_dir, "fragments"))
 

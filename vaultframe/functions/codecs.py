@@ -19,6 +19,10 @@ from vaultframe.functions import mixing_model as mm
 from vaultframe.functions import transforms as tr
 
 
+#: Beginning of a packed content, by which it is found in a stream.
+MAGIC = b"\x8eVF1\x1a"
+
+
 @dataclass
 class CodecSpec:
     kind: str
@@ -111,20 +115,33 @@ def pack_bytes(content: bytes, method: str) -> bytes:
         if spec.models:
             body = len(body).to_bytes(8, "little") + mm.encode_bits(body, build_model(spec))
     name = method.encode()
-    return b"VF1" + bytes([len(name)]) + name + len(content).to_bytes(8, "little") + hashlib.sha1(content).digest() + body
+    return MAGIC + bytes([len(name)]) + name + len(content).to_bytes(8, "little") + len(body).to_bytes(8, "little") + hashlib.sha1(content).digest() + body
+
+
+def header(packed: bytes, at: int = 0) -> dict:
+    """Method, size, sha1, and begin and end of the body of the packed content at a place; nothing is unpacked. ValueError if there is none."""
+    try:
+        if packed[at : at + 5] != MAGIC:
+            raise ValueError
+        body = at + 6 + packed[at + 5] + 36
+        method = packed[at + 6 : body - 36].decode("ascii")
+        parse_method(method)
+        size, length = (int.from_bytes(packed[body - k : body - k + 8], "little") for k in (36, 28))
+        if body + length > len(packed):
+            raise ValueError
+    except (ValueError, IndexError, UnicodeDecodeError) as e:
+        raise ValueError("no packed content here") from e
+    return {"method": method, "size": size, "sha1": packed[body - 20 : body], "begin": body, "end": body + length}
 
 
 def method_of(packed: bytes) -> str:
-    if packed[:3] != b"VF1":
-        raise ValueError("not a packed content")
-    return packed[4 : 4 + packed[3]].decode()
+    return header(packed)["method"]
 
 
 def unpack_bytes(packed: bytes) -> bytes:
     """The content; ValueError if the code is damaged or the checksum differs."""
-    spec = parse_method(method_of(packed))
-    at = 4 + packed[3]
-    size, digest, body = int.from_bytes(packed[at : at + 8], "little"), packed[at + 8 : at + 28], packed[at + 28 :]
+    head = header(packed)
+    spec, size, digest, body = parse_method(head["method"]), head["size"], head["sha1"], packed[head["begin"] : head["end"]]
     try:
         if spec.kind == "zstd":
             import zstandard
@@ -193,3 +210,31 @@ def unpack_column(frame: DataFrame, column: str, error_col: str = "unpack_error"
         return {column: pa.array(out, pa.binary()), error_col: pa.array(errors, pa.string())}
 
     return _mapped(frame, column, f"`{column}` binary, `{error_col}` string", work)
+
+
+def scan_packed(frame: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, offset, packed_bytes, method, usize, sha1): the packed contents in a stream of bytes, such as an archive written one after the other. What lies between them, damaged or foreign, is passed over up to the next beginning."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        names = [key, "offset", "packed_bytes", "method", "usize", "sha1"]
+        for batch in batches:
+            at, cols = [], [[] for _ in names[1:]]
+            for k, data in enumerate(batch.column(1).to_pylist()):
+                place = (data or b"").find(MAGIC)
+                while place >= 0:
+                    try:
+                        head = header(data, place)
+                    except ValueError:
+                        place = data.find(MAGIC, place + 1)
+                        continue
+                    at.append(k)
+                    for c, v in zip(cols, (place, head["end"] - place, head["method"], head["size"], head["sha1"])):
+                        c.append(v)
+                    place = data.find(MAGIC, head["end"])
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, kinds))], names)
+
+    kind = frame.schema[key].dataType.simpleString()
+    return frame.select(key, column).mapInArrow(run, f"`{key}` {kind}, offset bigint, packed_bytes bigint, method string, usize bigint, sha1 binary")

@@ -9,8 +9,13 @@ from pyspark.sql.window import Window
 from vaultframe.functions.dates import LAST_VERSION
 
 
+#: Columns of an entry; others are dropped, whatever their names.
+ENTRY = ("entry_id", "archive_id", "version_id", "seq_no", "dt_path", "dt_date", "dt_size", "dt_attr", "dt_ptr", "loaded_at")
+
+
 def last_loaded(entries: DataFrame) -> DataFrame:
     """Of each record (version_id, seq_no) the row loaded last; rows with a null path are none."""
+    entries = entries.select(*(c for c in ENTRY if c in entries.columns))
     latest = Window.partitionBy("version_id", "seq_no").orderBy(F.desc_nulls_last("loaded_at"), F.desc_nulls_last("entry_id"))
     return entries.filter("dt_path is not null").withColumn("_n", F.row_number().over(latest)).filter("_n = 1").drop("_n")
 

@@ -27,6 +27,8 @@ PERCENT = 60
 COMMON_ONE_IN, COMMON_LEAST = 1000, 50
 #: Runs are merged into one when there are more.
 MOST_RUNS = 4
+#: Weighted fragments that a bucket of a run is meant for; there is at least one bucket a core.
+BUCKET_FRAGMENTS = 2_000_000
 
 _ZERO = b"\0" * 20
 
@@ -132,7 +134,7 @@ class History:
     def __init__(self, spark: SparkSession, path: str | None = None, percent: int = PERCENT, buckets: int | None = None):
         self.spark, self.percent = spark, percent
         self.path = path or scratch_path(spark, "history")
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = buckets or spark.sparkContext.defaultParallelism
         self.runs: list[str] = []
         self.members: list[str] = []
 
@@ -199,7 +201,8 @@ def repeated_files(files: DataFrame, fragments: DataFrame, percent: int = PERCEN
     common = common_fragments(weighted.filter(F.col("batch_no") <= max(numbers[0], 0)))
     file_contents(weighted, common).repartition("batch_no", F.col("file_id") % 64).write.partitionBy("batch_no").parquet(contents_path)
     contents = spark.read.parquet(contents_path)
-    history = History(spark, percent=percent)
+    buckets = max(spark.sparkContext.defaultParallelism, -(-weighted.count() // BUCKET_FRAGMENTS))
+    history = History(spark, percent=percent, buckets=buckets)
     history.accept(contents.filter(F.col("batch_no") <= 0), 0)
     later = [n for n in numbers if n > 0]
     for n in later:

@@ -57,6 +57,17 @@ def test_all_cases_are_found(spark, rows, seed, hot, monkeypatch):
     assert rows(got) == expected and len(expected) > 100
 
 
+def test_a_fragment_that_all_have(spark, rows, monkeypatch):
+    monkeypatch.setattr(batchdedup, "COMMON_LEAST", 5)
+    monkeypatch.setattr(batchdedup, "COMMON_ONE_IN", 10)
+    rnd = random.Random(6)
+    fragments = [(0, sha("all"), 6000, "", "")] + [(k, sha(k), rnd.choice([100, 1000, 2000, 4000, 4001, 9000]), "", "") for k in range(1, 200)]
+    files = [(f, f // 50, "p", [0, f % 199 + 1, *([rnd.randrange(1, 200)] if f % 3 == 0 else [])], "", "") for f in range(200)]
+    got = repeated_files(spark.createDataFrame(files, FILES), spark.createDataFrame(fragments, FRAGMENTS))
+    expected = brute(files, fragments)
+    assert rows(got) == expected and len(expected) > 1000
+
+
 def test_copies_of_one_content(spark):
     files = [(f, f // 40, "p", [1, 2], "", "") for f in range(120)] + [(200, 3, "p", [1], "", "")]
     fragments = [(1, sha(1), 70, "", ""), (2, sha(2), 30, "", "")]

@@ -25,6 +25,8 @@ from vaultframe.session import scratch_path
 PERCENT = 60
 #: A fragment of more than one in so many files is common: it comes last in the order, so that it opens windows only for files that consist of such fragments. There are at most COMMON_ONE_IN times the mean number of fragments a file of them.
 COMMON_ONE_IN, COMMON_LEAST = 1000, 50
+#: Entries of a common fragment are parted by the size of their content, in steps of this ratio.
+STEP = 1.25
 #: Runs are merged into one when there are more.
 MOST_RUNS = 4
 #: Weighted fragments that a bucket of a run is meant for; there is at least one bucket a core.
@@ -46,11 +48,12 @@ def weighted_fragments(files: DataFrame, fragments: DataFrame) -> DataFrame:
 
 
 def file_contents(weighted: DataFrame, common: DataFrame) -> DataFrame:
-    """(batch_no, file_id, c, total, ks, ws): each file's set in the common order, with its class (c, total): a 64-bit hash of the set, and its bytes."""
+    """(batch_no, file_id, c, total, rare, ks, ws): each file's set in the common order, with its class (c, total): a 64-bit hash of the set, and its bytes; the first ``rare`` fragments aren't common."""
     rows = weighted.join(F.broadcast(common), "k", "left")  # see COMMON_ONE_IN for its bound
     part = F.struct(F.col("common").isNull().alias("rare"), "w", "k")
     sets = rows.groupBy("file_id").agg(F.min("batch_no").alias("batch_no"), F.sort_array(F.collect_list(part), False).alias("s"), F.sum("w").alias("total"))
-    return sets.select("batch_no", "file_id", F.xxhash64("s.k", "s.w").alias("c"), "total", F.col("s.k").alias("ks"), F.col("s.w").alias("ws"))
+    rare = F.size(F.filter("s", lambda x: x["rare"]))
+    return sets.select("batch_no", "file_id", F.xxhash64("s.k", "s.w").alias("c"), "total", rare.alias("rare"), F.col("s.k").alias("ks"), F.col("s.w").alias("ws"))
 
 
 def common_fragments(weighted: DataFrame) -> DataFrame:
@@ -59,15 +62,25 @@ def common_fragments(weighted: DataFrame) -> DataFrame:
     return weighted.groupBy("k").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("k", F.lit(True).alias("common"))
 
 
-def run_entries(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(k, rest, c, total, ks, ws): a class once for each fragment from which on at least ``percent`` of its bytes remain; ``rest``: those bytes."""
+def run_entries(classes: DataFrame, percent: int = PERCENT, probe: bool = False) -> DataFrame:
+    """(k, step, rest, c, total, ks, ws): a class once for each fragment from which on at least ``percent`` of its bytes remain; ``rest``: those bytes.
+
+    ``step`` is 0 for other fragments; the entries of a common one are parted by
+    their total, so that those of contents too unlike in size never meet. With
+    ``probe`` a class has an entry for every step in which its partners can be: a
+    pair has ``percent`` of its united bytes in common, which both of the rests must
+    hold, so a partner's total is between that share of its own and what the rest allows.
+    """
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
+        def step_of(total):
+            return 1 + np.floor(np.log(np.maximum(total, 1)) / np.log(STEP)).astype(np.int64)
+
         for batch in batches:
-            c, total, ks, ws = batch.columns
+            c, total, rare, ks, ws = batch.columns
             ends = np.asarray(ks.offsets.to_numpy(), np.int64)
             lens = np.diff(ends)
             own = np.repeat(np.arange(len(lens)), lens)
@@ -77,12 +90,24 @@ def run_entries(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
             sofar = np.cumsum(w) - w
             rest = whole[own] - (sofar - sofar[(ends[:-1] - lo)[lens > 0]].repeat(lens[lens > 0]))
             take = np.flatnonzero(100 * rest >= percent * whole[own])
-            at = pa.array(own[take])
-            k = ks.values.to_numpy(zero_copy_only=False)[lo:hi][take]
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(rest[take]), *(x.take(at) for x in (c, total, ks, ws))], ["k", "rest", "c", "total", "ks", "ws"])
-
-    schema = "k bigint, rest bigint, c bigint, total bigint, ks array<bigint>, ws array<bigint>"
-    return classes.select("c", "total", "ks", "ws").mapInArrow(run, schema)
+            place = np.arange(len(own)) - (ends[:-1] - lo)[own]
+            is_common = (place >= rare.to_numpy(zero_copy_only=False)[own])[take]
+            size, kept = whole[own[take]], rest[take]
+            first = np.where(is_common, step_of(size), 0)
+            last = first.copy()
+            if probe:
+                first = np.where(is_common, step_of(size * percent / 100 * (1 - 1e-9)), 0)
+                most = np.minimum(size * 100 / percent, kept * (100 + percent) / percent - size) * (1 + 1e-9)
+                last = np.where(is_common, step_of(most), 0)
+            times = np.maximum(last - first + 1, 0)
+            which = np.repeat(np.arange(len(take)), times)
+            step = first[which] + np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
+            at = pa.array(own[take][which])
+            k = ks.values.to_numpy(zero_copy_only=False)[lo:hi][take][which]
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(step), pa.array(kept[which]), *(x.take(at) for x in (c, total, ks, ws))], ["k", "step", "rest", "c", "total", "ks", "ws"])
+
+    schema = "k bigint, step bigint, rest bigint, c bigint, total bigint, ks array<bigint>, ws array<bigint>"
+    return classes.select("c", "total", "rare", "ks", "ws").mapInArrow(run, schema)
 
 
 def compare_windows(new: DataFrame, run: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -123,9 +148,9 @@ def compare_windows(new: DataFrame, run: DataFrame, percent: int = PERCENT) -> D
             case = opening & (100 * common >= percent * (ta + tb - common))
             yield pa.RecordBatch.from_arrays([x.filter(pa.array(case)) for x in (col["c"], col["total"], col["d"], col["dtotal"])], ["c", "total", "d", "dtotal"])
 
-    other = run.select("k", F.col("rest").alias("drest"), F.col("c").alias("d"), F.col("total").alias("dtotal"), F.col("ks").alias("ds"))
+    other = run.select("k", "step", F.col("rest").alias("drest"), F.col("c").alias("d"), F.col("total").alias("dtotal"), F.col("ks").alias("ds"))
     enough = (100 + percent) * F.least("rest", "drest") >= percent * (F.col("total") + F.col("dtotal"))
-    return new.join(other, "k").filter(enough).select("k", "c", "total", "d", "dtotal", "ks", "ws", "ds").mapInArrow(compare, "c bigint, total bigint, d bigint, dtotal bigint")
+    return new.join(other, ["k", "step"]).filter(enough).select("k", "c", "total", "d", "dtotal", "ks", "ws", "ds").mapInArrow(compare, "c bigint, total bigint, d bigint, dtotal bigint")
 
 
 class History:
@@ -138,35 +163,35 @@ class History:
         self.runs: list[str] = []
         self.members: list[str] = []
 
-    def _write(self, rows: DataFrame, key: str) -> str:
+    def _write(self, rows: DataFrame, *key: str) -> str:
         name = f"vaultframe_{uuid.uuid4().hex}"
-        rows.repartition(self.buckets, key).write.bucketBy(self.buckets, key).sortBy(key).option("path", f"{self.path}/{name}").saveAsTable(name)
+        rows.repartition(self.buckets, *key).write.bucketBy(self.buckets, *key).sortBy(*key).option("path", f"{self.path}/{name}").saveAsTable(name)
         return name
 
-    def _compact(self, names: list[str], key: str) -> list[str]:
+    def _compact(self, names: list[str], *key: str) -> list[str]:
         """One run of all; the old ones stay for results not yet computed, until the folder is cleared."""
         if len(names) <= MOST_RUNS:
             return names
         rows = self.spark.table(names[0])
         for n in names[1:]:
             rows = rows.unionByName(self.spark.table(n))
-        return [self._write(rows, key)]
+        return [self._write(rows, *key)]
 
     def accept(self, batch: DataFrame, batch_no: int) -> None:
-        """Takes in a batch of (file_id, c, total, ks, ws): enters its new classes into a run, and compares all its classes with the windows of every run, its own among them."""
-        classes = batch.groupBy("c", "total").agg(F.first("ks").alias("ks"), F.first("ws").alias("ws"))
+        """Takes in a batch of (file_id, c, total, rare, ks, ws): enters its new classes into a run, and compares all its classes with the windows of every run, its own among them."""
+        classes = batch.groupBy("c", "total").agg(F.first("rare").alias("rare"), F.first("ks").alias("ks"), F.first("ws").alias("ws"))
         new = classes
         for m in self.members:
             new = new.join(self.spark.table(m).select("c", "total"), ["c", "total"], "left_anti")
-        self.runs.append(self._write(run_entries(new, self.percent), "k"))
+        self.runs.append(self._write(run_entries(new, self.percent), "k", "step"))
         self.members.append(self._write(batch.select("c", "total", "file_id", F.lit(batch_no).alias("batch_no")), "c"))
-        entries = run_entries(classes, self.percent)
+        entries = run_entries(classes, self.percent, probe=True)
         cases = None
         for r in self.runs:
             found = compare_windows(entries, self.spark.table(r), self.percent)
             cases = found if cases is None else cases.unionByName(found)
         cases.write.mode("overwrite").parquet(f"{self.path}/cases/batch_no={batch_no}")
-        self.runs, self.members = self._compact(self.runs, "k"), self._compact(self.members, "c")
+        self.runs, self.members = self._compact(self.runs, "k", "step"), self._compact(self.members, "c")
 
     def pairs(self, batches: list[int]) -> DataFrame:
         """(file_a, file_b): the cases of the given batches, with the members of their classes."""

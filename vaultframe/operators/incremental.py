@@ -97,12 +97,12 @@ class ProcessedLedger:
         taken = first | ~F.col("dt_date").eqNullSafe(F.lag("dt_date").over(w))
         heads.withColumn("taken", taken).filter(~F.col("_old")).drop("_old", "_k").write.mode("overwrite").parquet(f"{self.path}/states/{name}")
 
-        open_since = self._open_since(log, name, runs[-1][1])
+        open_since = self._open_since([p for p in log if low is None or p["until"] >= low], name, runs[-1][1])
         log.append({"dir": name, "runs": [r for r, _ in runs], "until": runs[-1][1], "open_since": open_since})
         write_text(self.spark, f"{self.path}/commits.json", json.dumps(log))
 
     def _open_since(self, log: list[dict], name: str, at: int) -> int:
-        """First loading time of the oldest transaction open at ``at``; ``at`` itself if none is."""
+        """First loading time, within the passes that are reread anyway, of the oldest transaction open at ``at``; ``at`` itself if none is."""
         rows = self._read("seen", [*log, {"dir": name}]).groupBy("version_id").agg(F.min("loaded_us").alias("lo"), F.max("loaded_us").alias("hi"))
         found = rows.filter(F.col("hi") > at - self.grace).agg(F.min("lo")).first()[0]
         return at if found is None else min(found, at)

@@ -33,6 +33,48 @@ BLOCKS = "block_id bigint, frags bigint, usize bigint, bsize bigint, method stri
 KEYS = ("dt_path",)
 
 
+def slices(blobs: DataFrame, parts: DataFrame, key: str, blob: str, off: str, length: str, into: str) -> DataFrame:
+    """The rows of ``parts``, each with its slice of the blob of its key; null where the blob is null or missing.
+
+    The parts of a blob are brought together as one list, so that a blob is read
+    once and never copied for each of its parts.
+    """
+    kept = [f for f in parts.schema if f.name != key]
+    lists = parts.groupBy(key).agg(F.collect_list(F.struct(*(f.name for f in kept))).alias("_parts"))
+    rows = lists.join(blobs.select(key, F.col(blob).alias("_blob")), key, "left").select(key, "_blob", "_parts")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                data, part = batch.column(1)[k].as_py(), batch.column(2)[k].values
+                begin, size = part.field(off).to_pylist(), part.field(length).to_pylist()
+                cut = pa.array([None if data is None else data[b : b + n] for b, n in zip(begin, size)], pa.binary())
+                owner = batch.column(0).take(pa.array([k] * len(part), pa.int64()))
+                yield pa.RecordBatch.from_arrays([owner, *(part.field(f.name) for f in kept), cut], [key, *(f.name for f in kept), into])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    return rows.mapInArrow(run, f"`{key}` {parts.schema[key].dataType.simpleString()}, {kinds}, `{into}` binary")
+
+
+def joined(pieces: DataFrame) -> DataFrame:
+    """(dt_path, whole, good): the pieces of each file in order of pos as one content, and how many of them are right."""
+    lists = pieces.groupBy("dt_path").agg(F.sort_array(F.collect_list(F.struct("pos", "p", "ok"))).alias("s"))
+    rows = lists.select("dt_path", F.col("s.p").alias("p"), F.size(F.filter("s", lambda x: x["ok"])).alias("good"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for k in range(0, batch.num_rows, 64):
+                part = batch.slice(k, 64)
+                whole = [b"".join(x or b"" for x in row) for row in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(whole, pa.binary()), part.column(2)], ["dt_path", "whole", "good"])
+
+    return rows.mapInArrow(run, "dt_path string, whole binary, good int")
+
+
 class VaultError(RuntimeError):
     """A rule of the store would be broken."""
 
@@ -179,7 +221,7 @@ class Vault:
         figures = mine.agg(F.count("*").alias("n"), F.max("frag_id").alias("f"), F.max("block_id").alias("b")).first()
 
         where = fresh.select("dt_path", "pos", "block_id", "frag_id").join(pieces.select("dt_path", "pos", "off", "ht_usize"), ["dt_path", "pos"])
-        bytes_ = where.join(outside.select("dt_path", "content"), "dt_path").select("block_id", "frag_id", "ht_usize", F.substring(F.col("content"), (F.col("off") + 1).cast("int"), F.col("ht_usize").cast("int")).alias("p"))
+        bytes_ = slices(outside, where, "dt_path", "content", "off", "ht_usize", "p").select("block_id", "frag_id", "ht_usize", "p")
         self._write_blocks(bytes_, f"{self.path}/blocks/{target}")
         packed = self.spark.read.parquet(f"{self.path}/blocks/{target}").agg(F.sum("bsize").alias("s")).first()["s"] or 0
 
@@ -231,7 +273,7 @@ class Vault:
         uses = files.select("dt_path", F.posexplode("dt_ptr").alias("pos", "frag_id"))
         frags = self.fragments(until).join(uses.select("frag_id").distinct(), "frag_id", "left_semi")
         needed = self.blocks(until).join(frags.select("block_id").distinct(), "block_id", "left_semi")
-        cut = frags.join(self._unpacked(needed), "block_id").select("frag_id", "ht_sha1", F.substring(F.col("payload"), (F.col("block_offset") + 1).cast("int"), F.col("ht_usize").cast("int")).alias("p"))
+        cut = slices(self._unpacked(needed), frags.select("block_id", "frag_id", "ht_sha1", "block_offset", "ht_usize"), "block_id", "payload", "block_offset", "ht_usize", "p")
         cut = cut.withColumn("ok", F.coalesce(F.unhex(F.sha1("p")) == F.col("ht_sha1"), F.lit(False)))
         return uses.join(cut.select("frag_id", "p", "ok"), "frag_id", "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
 
@@ -251,26 +293,23 @@ class Vault:
             files = files.join(acts.select(F.col("dt_path").alias("target"), "action"), "target")
             action = F.col("action")
         write = files.filter(action.isin(">", "#"))
-        pieces = self._pieces(write, until).groupBy("dt_path").agg(F.sort_array(F.collect_list(F.struct("pos", "p", "ok"))).alias("s"))
-        whole = F.aggregate("s", F.unhex(F.lit("")), lambda a, x: F.concat(a, x["p"]))
-        good = F.size(F.filter("s", lambda x: x["ok"]))
-        rows = files.join(pieces, "dt_path", "left")
+        rows = files.join(joined(self._pieces(write, until)), "dt_path", "left")
         total = F.coalesce(F.size("dt_ptr"), F.lit(0))
         total = F.when(total < 0, 0).otherwise(total)
-        content = F.when(action.isin(">", "#"), F.when(total == 0, F.unhex(F.lit(""))).when(good == total, whole))
-        return rows.select(F.col("target").alias("dt_path"), *compare.VALUES, content.alias("content"), F.when(total == 0, 0).otherwise(good).alias("frags_ok"), total.alias("frags_total"), action.alias("action"))
+        content = F.when(action.isin(">", "#"), F.when(total == 0, F.unhex(F.lit(""))).when(F.col("good") == total, F.col("whole")))
+        return rows.select(F.col("target").alias("dt_path"), *compare.VALUES, content.alias("content"), F.when(total == 0, 0).otherwise(F.col("good")).alias("frags_ok"), total.alias("frags_total"), action.alias("action"))
 
     def _content_keys(self, files: DataFrame, until: int | None) -> DataFrame:
-        pieces = self._pieces(files, until).groupBy("dt_path").agg(F.sort_array(F.collect_list(F.struct("pos", "p"))).alias("s"))
-        whole = F.aggregate("s", F.unhex(F.lit("")), lambda a, x: F.concat(a, x["p"]))
-        return files.select("dt_path").join(pieces, "dt_path", "left").select("dt_path", F.coalesce(F.sha1(whole), F.sha1(F.lit(""))).alias("_k"))
+        return files.select("dt_path").join(joined(self._pieces(files, until)), "dt_path", "left").select("dt_path", F.coalesce(F.sha1("whole"), F.sha1(F.lit(""))).alias("_k"))
 
     def verify(self, until: int | None = None) -> DataFrame:
         """(block_id, frags, frags_ok, problem): every block unpacked and every fragment checked."""
         blocks = self._unpacked(self.blocks(until))
-        rows = self.fragments(until).join(blocks, "block_id", "left")
-        ok = F.coalesce(F.unhex(F.sha1(F.substring(F.col("payload"), (F.col("block_offset") + 1).cast("int"), F.col("ht_usize").cast("int")))) == F.col("ht_sha1"), F.lit(False))
-        return rows.groupBy("block_id").agg(F.count("*").alias("frags"), F.count(F.when(ok, 1)).alias("frags_ok"), F.max("unpack_error").alias("problem"))
+        cut = slices(blocks, self.fragments(until).select("block_id", "ht_sha1", "block_offset", "ht_usize"), "block_id", "payload", "block_offset", "ht_usize", "p")
+        ok = F.coalesce(F.unhex(F.sha1("p")) == F.col("ht_sha1"), F.lit(False))
+        checked = cut.groupBy("block_id").agg(F.count("*").alias("frags"), F.count(F.when(ok, 1)).alias("frags_ok"), F.count("p").alias("cut"))
+        problem = F.when(F.col("cut") == 0, "the block can't be unpacked").when(F.col("frags_ok") < F.col("frags"), "checksums differ")
+        return checked.select("block_id", "frags", "frags_ok", problem.alias("problem"))
 
     def failures(self, until: int | None = None) -> DataFrame:
         """(dt_path, restored, total) of live files that can't be restored whole."""

@@ -145,3 +145,10 @@ def test_kinds_of_data():
     assert chunk.is_code(code.table) and not chunk.is_code(t.table)
     assert chunk.redundancy(len(text), t.hits, t.table) > len(text) // 4 > chunk.redundancy(9000, r.hits, r.table)
     assert chunk.redundancy(0, 0, bytes(256)) == 0
+
+
+def test_report(spark):
+    rows = spark.createDataFrame([entry(1, 1, 1, "a", date=20240229235958, size=12, attr=ord("u") + (0o040755 << 8), ptr=(1, 2, 3)), entry(2, 1, 2, "b", date=0, size=None, attr=None, ptr=None)], E)
+    lines = [r["line"] for r in compare.report(rows, fragments=True).orderBy("dt_path").collect()]
+    assert lines == ["m 2024-02-29 23:59:58           12 d0755 a 1-3", "m " + " " * 19 + "           -1 " + " " * 5 + " b "]
+    assert compare.report(rows, attributes=False).orderBy("dt_path").first()["line"] == "m 2024-02-29 23:59:58           12 a"

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from vaultframe.functions import transforms as tr
-from vaultframe.functions.codecs import codec_memory, method_of, pack_bytes, pack_column, parse_method, unpack_bytes, unpack_column
+from vaultframe.functions.codecs import codec_memory, method_of, pack_bytes, pack_column, parse_method, unpack_bytes, unpack_column, unpack_prefix
 from vaultframe.operators.packing import periodic_models, periods_of
 
 rnd = random.Random(1)
@@ -20,6 +20,7 @@ def test_round_trip(method):
         packed = pack_bytes(content, method)
         assert unpack_bytes(packed) == content
         assert method_of(packed) == method
+        assert all(unpack_prefix(packed, n) == content[:n] for n in (0, 1, 7, 10_000))
     assert codec_memory(method, 1000) > 0
 
 

@@ -136,3 +136,10 @@ def test_damage_and_password(spark):
     got = contents(vault.extract())
     assert failed and {p for p, c in got.items() if c is None} == failed
     assert all(got[p] == c for p, c in BASE.items() if p not in failed)
+
+
+def test_fixed_pieces(spark):
+    vault = Vault(spark, scratch_path(spark, "vault"), fixed=1000, method="store")
+    vault.add(frame(spark, BASE), 20210101000000)
+    assert contents(vault.extract()) == BASE
+    assert vault.fragments().agg(F.max("ht_usize")).first()[0] == 1000

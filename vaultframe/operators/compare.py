@@ -37,6 +37,17 @@ def compare(internal: DataFrame, external: DataFrame, keys=("archive_id", "dt_pa
     return rows.filter(~F.col("mark").isin(*hidden)) if hidden else rows
 
 
+def report(rows: DataFrame, attributes: bool = True, fragments: bool = False) -> DataFrame:
+    """One line of text a row of a listing: mark, date, size in 12 places (an unknown one as -1), perhaps attributes, path, and perhaps the list of fragments."""
+    from vaultframe.functions.dates import attr_text, date_text
+    from vaultframe.operators.rollup import pointer_text
+
+    parts = [F.col("mark"), date_text(F.col("dt_date")), F.lpad(F.coalesce("dt_size", F.lit(-1)).cast("string"), 12, " ")]
+    parts += [F.coalesce(attr_text(F.col("dt_attr")), F.lit(" " * 5))] if attributes else []
+    parts += [F.col("dt_path")] + ([F.coalesce(pointer_text(F.col("dt_ptr")), F.lit(""))] if fragments else [])
+    return rows.select("dt_path", F.concat_ws(" ", *parts).alias("line"))
+
+
 def mark_counts(marked: DataFrame, *by: str) -> DataFrame:
     """How often each mark occurs; the outer side of a different file counts as outer too."""
     names = {"=": "same", "#": "different", "+": "external", "-": "internal"}

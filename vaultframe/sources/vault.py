@@ -93,14 +93,14 @@ class Selection:
 
 
 class Vault:
-    """Store at ``path``; with a password its payloads are encrypted. ``block_size``: bytes of fragments in a block."""
+    """Store at ``path``; with a password its payloads are encrypted. ``block_size``: bytes of fragments in a block. ``fixed``: pieces of so many bytes instead of content-defined ones, which need no look at the content."""
 
-    def __init__(self, spark: SparkSession, path: str, password: str | None = None, fragment: int = 6, method: str = "zstd", block_size: int = 1 << 24):
+    def __init__(self, spark: SparkSession, path: str, password: str | None = None, fragment: int = 6, method: str = "zstd", block_size: int = 1 << 24, fixed: int | None = None):
         if not 0 <= fragment <= 16:
             raise VaultError("the size of fragments is 0 to 16")
         codecs.parse_method(method)
         self.spark, self.path = spark, path.rstrip("/")
-        self.fragment, self.method, self.block_size = fragment, method, block_size
+        self.fragment, self.method, self.block_size, self.fixed = fragment, method, block_size, fixed
         head = json.loads(read_text(spark, f"{self.path}/head.json") or "null")
         if head is None:
             head = {"salt": crypto.new_salt().hex() if password is not None else None}
@@ -204,7 +204,11 @@ class Vault:
         work = scratch_path(self.spark, "vault-add")
 
         read = compare.needs_reading(inside, outside, force, KEYS).select("dt_path")
-        pieces = chunk.chunk_content(outside.join(read, "dt_path", "left_semi"), "dt_path", "content", self.fragment)
+        changed = outside.join(read, "dt_path", "left_semi")
+        if self.fixed:
+            pieces = chunk.chunk_fixed(changed, "dt_path", "content", self.fixed).withColumn("sha1", F.unhex("sha1"))
+        else:
+            pieces = chunk.chunk_content(changed, "dt_path", "content", self.fragment)
         rank = outside.select("dt_path", paths.extension_key(F.col("dt_path")).alias("ext"), (-F.shiftright(F.coalesce("dt_size", F.lit(0)), 14)).alias("bucket"))
         pieces.join(rank, "dt_path").withColumnRenamed("sha1", "ht_sha1").withColumnRenamed("len", "ht_usize").write.parquet(f"{work}/pieces")
         pieces = self.spark.read.parquet(f"{work}/pieces")
@@ -337,7 +341,7 @@ class Vault:
     def _copy(self, path: str, select: Selection | None, until: int | None, payload: bool = True, password: str | None = None) -> Vault:
         if json.loads(read_text(self.spark, f"{path}/commits.json") or "[]"):
             raise VaultError(f"{path} exists")
-        to = Vault(self.spark, path, password, self.fragment, self.method, self.block_size)
+        to = Vault(self.spark, path, password, self.fragment, self.method, self.block_size, self.fixed)
         log = self.cut(until)
         if not log:
             return to

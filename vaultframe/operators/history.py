@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vaultframe.session import scratch_path, write_bucketed
+
 ATTRIBUTES = ("dt_date", "dt_size", "dt_attr")
 
 
@@ -62,13 +64,23 @@ class CheckpointHistory:
         self.patches, self.checkpoints, self.keys, self.every = patches, checkpoints, list(keys), every
 
     @classmethod
-    def build(cls, records: DataFrame, keys: Sequence[str] = ("archive_id", "dt_path"), every: int = 32) -> CheckpointHistory:
-        """From records of (keys, version_no, seq_no, is_delete, ATTRIBUTES); of a key's records in one version the largest seq_no counts."""
+    def build(cls, records: DataFrame, keys: Sequence[str] = ("archive_id", "dt_path"), every: int = 32, folder: str | None = None) -> CheckpointHistory:
+        """From records of (keys, version_no, seq_no, is_delete, ATTRIBUTES); of a key's records in one version the largest seq_no counts.
+
+        With a folder both tables are stored there in buckets of (keys, epoch), so
+        that the records are worked through once and nothing that follows
+        exchanges the patches again.
+        """
         keys = list(keys)
         epoch = F.floor(F.col("version_no") / every).cast("bigint")
         parted = records.withColumn("epoch", epoch).repartition(*keys, "epoch")
         top = Window.partitionBy(*keys, "epoch", "version_no").orderBy(F.desc_nulls_last("seq_no"))
         patches = parted.withColumn("_n", F.row_number().over(top)).filter("_n = 1").drop("_n", "seq_no")
+        store = lambda rows: rows
+        if folder is not None:
+            buckets = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            store = lambda rows: write_bucketed(rows, folder, buckets, *keys, "epoch")
+        patches = store(patches)
         by_version = Window.partitionBy(*keys, "epoch").orderBy("version_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         last_row = Window.partitionBy(*keys, "epoch").orderBy(F.desc("version_no"))
         composed = (
@@ -83,13 +95,13 @@ class CheckpointHistory:
             .drop("_n")
         )
         before = Window.partitionBy(*keys).orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
-        checkpoints = composed.select(
+        checkpoints = composed.select(  # one row an epoch of a key
             *keys,
             "epoch",
             F.coalesce(F.last("alive").over(before), F.lit(False)).alias("was_alive"),
             *(F.last(c, True).over(before)["v"].alias(c) for c in ATTRIBUTES),
         )
-        return cls(patches, checkpoints, keys, every)
+        return cls(patches, store(checkpoints), keys, every)
 
     def states(self) -> DataFrame:
         """Every patch with the full state after it: ``s_`` columns, and ``p_`` columns for the state before."""
@@ -153,4 +165,5 @@ def attribute_periods(entries: DataFrame, versions: DataFrame, every: int = 32)
     value keeps the running period's. Empty tables give no periods; extra
     columns are ignored.
     """
-    return CheckpointHistory.build(committed_records(entries, versions), every=every).periods()
+    folder = scratch_path(entries.sparkSession, "attribute-history")
+    return CheckpointHistory.build(committed_records(entries, versions), every=every, folder=folder).periods()

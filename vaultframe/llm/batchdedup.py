@@ -23,8 +23,8 @@ from vaultframe.session import scratch_path
 
 #: Contents with at least so many per cent of their united bytes in common are a case.
 PERCENT = 60
-#: A fragment of more than one in so many files is common: it comes last in the order, so that it opens windows only for files that consist of such fragments. There are at most COMMON_ONE_IN times the mean number of fragments a file of them.
-COMMON_ONE_IN, COMMON_LEAST = 1000, 50
+#: A fragment of more than one in so many files is common: it comes last in the order, so that it opens windows only for files that consist of such fragments. There are at most COMMON_ONE_IN times the mean number of fragments a file of them; they are broadcast if there are no more than BROADCAST_ROWS.
+COMMON_ONE_IN, COMMON_LEAST, BROADCAST_ROWS = 1000, 50, 1_000_000
 #: Entries of a common fragment are parted by the size of their content, in steps of this ratio.
 STEP = 1.25
 #: Runs are merged into one when there are more.
@@ -49,7 +49,7 @@ def weighted_fragments(files: DataFrame, fragments: DataFrame) -> DataFrame:
 
 def file_contents(weighted: DataFrame, common: DataFrame) -> DataFrame:
     """(batch_no, file_id, c, total, rare, ks, ws): each file's set in the common order, with its class (c, total): a 64-bit hash of the set, and its bytes; the first ``rare`` fragments aren't common."""
-    rows = weighted.join(F.broadcast(common), "k", "left")  # see COMMON_ONE_IN for its bound
+    rows = weighted.join(F.broadcast(common) if common.count() <= BROADCAST_ROWS else common, "k", "left")
     part = F.struct(F.col("common").isNull().alias("rare"), "w", "k")
     sets = rows.groupBy("file_id").agg(F.min("batch_no").alias("batch_no"), F.sort_array(F.collect_list(part), False).alias("s"), F.sum("w").alias("total"))
     rare = F.size(F.filter("s", lambda x: x["rare"]))
@@ -223,7 +223,9 @@ def repeated_files(files: DataFrame, fragments: DataFrame, percent: int = PERCEN
     result = spark.createDataFrame([], "file_a bigint, file_b bigint")
     if not numbers:
         return result
-    common = common_fragments(weighted.filter(F.col("batch_no") <= max(numbers[0], 0)))
+    common_path = scratch_path(spark, "common-fragments")
+    common_fragments(weighted.filter(F.col("batch_no") <= max(numbers[0], 0))).write.parquet(common_path)
+    common = spark.read.parquet(common_path)
     file_contents(weighted, common).repartition("batch_no", F.col("file_id") % 64).write.partitionBy("batch_no").parquet(contents_path)
     contents = spark.read.parquet(contents_path)
     buckets = max(spark.sparkContext.defaultParallelism, -(-weighted.count() // BUCKET_FRAGMENTS))

@@ -143,3 +143,16 @@ def test_fixed_pieces(spark):
     vault.add(frame(spark, BASE), 20210101000000)
     assert contents(vault.extract()) == BASE
     assert vault.fragments().agg(F.max("ht_usize")).first()[0] == 1000
+
+
+def test_index_beside_and_another_password(spark, rows):
+    vault = Vault(spark, scratch_path(spark, "vault"), "one", fragment=0)
+    index = Vault(spark, scratch_path(spark, "index"))
+    vault.add(frame(spark, BASE), 20210101000000, index=index)
+    vault.add(frame(spark, {"a": b"1"}), 20210102000000, index=index)
+    assert rows(index.list()) == rows(vault.list()) and rows(index.list(until=1)) == rows(vault.list(until=1))
+    assert index.blocks().filter("payload is not null").count() == 0
+    with pytest.raises(VaultError):
+        vault.add(frame(spark, {"a": b"2"}, 20220101000000), 20210103000000, index=Vault(spark, scratch_path(spark, "index")))
+    copy = vault.repack_all_to(scratch_path(spark, "copy"), "two")
+    assert contents(Vault(spark, copy.path, "two").extract(until=1)) == BASE

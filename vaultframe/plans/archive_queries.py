@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vaultframe.functions import dates, paths
 from vaultframe.operators import compare, journal, rollup
 from vaultframe.operators.numbering import number_rows
+from vaultframe.operators.quality import archive_problems as problems
 from vaultframe.session import table
 
 QUERIES, SQL = {}, {}
@@ -303,3 +304,24 @@ def restore_failures(spark, sf_dir):
 SELECT origin, CAST(file_no AS BIGINT) AS file_no, max(seg_name) FILTER (WHERE seg_name <> '') AS seg_name, min(seg_id) AS first_seg, count(*) AS segments, CAST(sum(greatest(coalesce(ht_usize, 0), 0)) AS BIGINT) AS bytes FROM s GROUP BY ALL""")
 def stream_files(spark, sf_dir):
     return rollup.stream_files(table(spark, sf_dir, "segments"))
+
+
+@query("""WITH v AS (SELECT *, lag(ver_date) OVER (PARTITION BY archive_id ORDER BY version_no) AS b FROM versions),
+bl AS (SELECT *, lag(blk_start + blk_frags) OVER (PARTITION BY version_id ORDER BY blk_start, block_id) AS a FROM blocks),
+pr AS (SELECT block_id, count(*) AS p FROM fragments WHERE block_id IS NOT NULL GROUP BY 1),
+fr AS (SELECT *, ht_sha1 IS NULL OR hex(ht_sha1) = repeat('0', 40) AS nokey FROM fragments)
+SELECT 'version_uncommitted' AS problem, count(*) AS n FROM versions WHERE ver_csize < 0
+UNION ALL SELECT 'version_date_not_later', count(*) FROM v WHERE ver_date <= b
+UNION ALL SELECT 'block_without_size', count(*) FROM blocks WHERE blk_bsize IS NULL
+UNION ALL SELECT 'block_overlaps', count(*) FROM bl WHERE blk_start < a
+UNION ALL SELECT 'block_fragments_differ', count(*) FROM blocks LEFT JOIN pr USING (block_id) WHERE coalesce(p, 0) <> coalesce(blk_frags, 0)
+UNION ALL SELECT 'fragment_without_key', count(*) FROM fr WHERE nokey
+UNION ALL SELECT 'fragment_size_unknown', count(*) FROM fragments WHERE coalesce(ht_usize, -1) < 0
+UNION ALL SELECT 'fragment_key_again', count(*) - count(DISTINCT ht_sha1) FROM fr WHERE NOT nokey
+UNION ALL SELECT 'entry_without_path', count(*) FROM entries WHERE dt_path IS NULL
+UNION ALL SELECT 'entry_date_wrong', count(*) FROM entries WHERE dt_date > 0 AND try_strptime(lpad(CAST(dt_date AS VARCHAR), 14, '0'), '%Y%m%d%H%M%S') IS NULL
+UNION ALL SELECT 'entry_tag_unknown', count(*) FROM entries WHERE dt_attr <> 0 AND (dt_attr & 255) NOT IN (117, 119)
+UNION ALL SELECT 'entry_without_list', count(*) FROM entries WHERE dt_ptr IS NULL AND NOT coalesce(dt_date = 0, false)
+UNION ALL SELECT 'pointer_to_nothing', count(*) FROM (SELECT unnest(dt_ptr) AS frag_id FROM entries) LEFT JOIN fragments f USING (frag_id) WHERE f.ht_usize IS NULL AND f.ht_sha1 IS NULL AND frag_id NOT IN (SELECT frag_id FROM fragments)""")
+def archive_problems(spark, sf_dir):
+    return problems(*_tables(spark, sf_dir, "versions", "blocks", "fragments", "entries"))

@@ -178,13 +178,13 @@ class Vault:
     def _renamed(self, files: DataFrame, select: Selection) -> DataFrame:
         return files.withColumn("dt_path", paths.renamed(F.col("dt_path"), select.files, select.rename_to)) if select.rename_to else files
 
-    def add(self, files: DataFrame, date: int | None = None, select: Selection = Selection(), force: bool = False, until: int | None = None, attributes: bool = True, keep_unreadable: Sequence[str] = ()) -> dict:
+    def add(self, files: DataFrame, date: int | None = None, select: Selection = Selection(), force: bool = False, until: int | None = None, attributes: bool = True, keep_unreadable: Sequence[str] = (), index: Vault | None = None) -> dict:
         """Appends a version in which the selected paths are as in ``files``; gives its figures, with added and removed.
 
         Files of unchanged date and size aren't read unless ``force``. Stored paths
         that are selected but not in ``files`` are deleted, but for those named as
-        unreadable. ``until`` drops the later versions first. Nothing is written if
-        nothing changed. Paths are unique; null paths are left out, of repeated
+        unreadable. ``until`` drops the later versions first. ``index``: a copy without
+        payloads that gets the version too. Nothing is written if nothing changed. Paths are unique; null paths are left out, of repeated
         ones the row of the latest date counts.
         """
         if until is not None:
@@ -246,6 +246,11 @@ class Vault:
         result = {"version_no": number, "date": now, "updates": counts["n"] - counts["d"], "deletes": counts["d"], "frags": figures["n"], "bsize": packed, "last_frag": figures["f"] or last_frag, "last_block": figures["b"] or last_block, "tables": ["entries", *(["fragments", "blocks"] if figures["n"] else [])]}
         if counts["n"]:
             write_text(self.spark, f"{self.path}/commits.json", json.dumps([*log, result]))
+            if index is not None:
+                if index.versions() != log:
+                    raise VaultError("the index is of other versions")
+                self._copy_tables(index, [result], payload=False)
+                write_text(self.spark, f"{index.path}/commits.json", json.dumps([*log, result]))
         return result
 
     def _write_blocks(self, rows: DataFrame, path: str) -> None:
@@ -338,6 +343,26 @@ class Vault:
         """A store of one version that holds the selected files and only the blocks they need, perhaps under another password."""
         return self._copy(path, select, until, password=password)
 
+    def repack_all_to(self, path: str, password: str | None = None) -> Vault:
+        """A copy of all versions, perhaps under another password."""
+        return self._copy(path, None, None, password=password)
+
+    def _rekeyed(self, blocks: DataFrame, to: Vault) -> DataFrame:
+        if self.key is not None:
+            blocks = blocks.withColumn("payload", crypto.decrypt(F.col("payload"), self.key))
+        if to.key is not None:
+            blocks = blocks.withColumn("payload", crypto.encrypt(F.col("payload"), to.key))
+        return blocks
+
+    def _copy_tables(self, to: Vault, log: list[dict], payload: bool = True) -> None:
+        for v in log:
+            for name, schema in (("entries", ENTRIES), ("fragments", FRAGMENTS), ("blocks", BLOCKS)):
+                if name in v["tables"]:
+                    rows = self._read(name, schema, [v]).drop("version_no")
+                    if name == "blocks":
+                        rows = self._rekeyed(rows, to) if payload else rows.withColumn("payload", F.lit(None).cast("binary"))
+                    rows.write.mode("overwrite").parquet(f"{to.path}/{name}/version_no={v['version_no']}")
+
     def _copy(self, path: str, select: Selection | None, until: int | None, payload: bool = True, password: str | None = None) -> Vault:
         if json.loads(read_text(self.spark, f"{path}/commits.json") or "[]"):
             raise VaultError(f"{path} exists")
@@ -346,12 +371,7 @@ class Vault:
         if not log:
             return to
         if select is None:
-            for v in log:
-                for name, schema in (("entries", ENTRIES), ("fragments", FRAGMENTS), ("blocks", BLOCKS)):
-                    if name in v["tables"]:
-                        rows = self._read(name, schema, [v]).drop("version_no")
-                        rows = rows.withColumn("payload", F.lit(None).cast("binary")) if name == "blocks" and not payload else rows
-                        rows.write.mode("overwrite").parquet(f"{to.path}/{name}/version_no={v['version_no']}")
+            self._copy_tables(to, log, payload)
             write_text(self.spark, f"{to.path}/commits.json", json.dumps(log))
             return to
         files = self.snapshot(until, select)
@@ -359,10 +379,7 @@ class Vault:
         all_frags = self.fragments(until)
         kept = all_frags.join(used, "frag_id", "left_semi").select("block_id").distinct()
         blocks, frags = self.blocks(until).join(kept, "block_id", "left_semi"), all_frags.join(kept, "block_id", "left_semi")
-        if self.key is not None:
-            blocks = blocks.withColumn("payload", crypto.decrypt(F.col("payload"), self.key))
-        if to.key is not None:
-            blocks = blocks.withColumn("payload", crypto.encrypt(F.col("payload"), to.key))
+        blocks = self._rekeyed(blocks, to)
         blocks = blocks.withColumn("bsize", F.octet_length("payload").cast("bigint"))
         files.drop("version_no").write.parquet(f"{to.path}/entries/version_no=1")
         frags.drop("version_no").write.parquet(f"{to.path}/fragments/version_no=1")

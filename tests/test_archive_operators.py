@@ -147,6 +147,54 @@ def test_kinds_of_data():
     assert chunk.redundancy(0, 0, bytes(256)) == 0
 
 
+def brute_blocks(docs):
+    """frags, bytes and redundancy of each block of 256 documents, and its method of level 1, a byte at a time."""
+    out = {}
+    for doc_id, text in sorted(d for d in docs if d[1] is not None):
+        frags, total, saved, recent, texts = out.get(doc_id // 256, (0, 0, 0, [bytes(256)] * 4, 0))
+        data = text.encode()
+        for x in chunk.fragments_of([data], 0)[0]:
+            piece, table, last, hits = data[x.begin : x.end], bytearray(256), 0, 0
+            for c in piece:
+                hits += table[last] == c
+                table[last], last = c, c
+            size, left, count = len(piece), len(piece), [0] * 256
+            for b in table:
+                if count[b] < 255:
+                    left -= size * (32768 // ((count[b] + 1) * 204)) >> 15
+                    count[b] += 1
+            alike = sum(r[i] == table[i] for r in recent for i in range(256))
+            saved += min(size, max(hits, left * left // size if size else 0, count[0] * size // 256, alike * size // 1024))
+            frags, total, texts = frags + 1, total + size, texts + 2 * chunk.is_text(bytes(table))
+            if size >= 64:
+                recent = [*recent[1:], bytes(table)]
+        out[doc_id // 256] = (frags, total, saved, recent, texts)
+    rows = []
+    for block, (frags, total, saved, _, texts) in out.items():
+        redundancy, kind = saved // (total // 256 + 1), int(texts > frags)
+        type_ = redundancy * 4 + kind
+        method = "x0" + (",0" if type_ < 40 else ",1,4,0,1,15" if type_ < 80 else ",1,4,0,2,16" if type_ < 128 else ",1,4,0,2,20" if type_ < 256 else ",1,5,0,3,20" if type_ < 960 else ",1,6,0,3,20")
+        rows.append((block, frags, total, redundancy, kind, method))
+    return sorted(rows)
+
+
+def test_block_methods(spark, rows, tmp_path):
+    import random
+
+    from vaultframe.plans.content_queries import block_methods
+
+    rnd = random.Random(3)
+    words = ["house", "order", "the", "will", "divide", "1.", "a,", "so", "we", "ayes", "have", "it"]
+    make = [lambda n: " ".join(rnd.choice(words) for _ in range(n)), lambda n: "".join(chr(rnd.randrange(1, 1200)) for _ in range(n)), lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n)), lambda n: "\0" * n]
+    docs = [(256 * b + k, rnd.choice([make[b], make[b], make[rnd.randrange(4)]])(rnd.choice([0, 1, 9, 60, 700]))) for b in range(4) for k in range(25)]
+    docs += [(255, None), (9 * 256, ""), (10 * 256, make[1](9)), (10 * 256 + 9, make[0](3000))]
+    rnd.shuffle(docs)
+    spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = block_methods(spark, str(tmp_path)).select("block_no", "frags", "bytes", "redundancy", "kind", "method_1")
+    assert rows(got) == sorted(brute_blocks(docs), key=repr)
+    assert len({r[-1] for r in brute_blocks(docs)}) > 1
+
+
 def test_report(spark):
     rows = spark.createDataFrame([entry(1, 1, 1, "a", date=20240229235958, size=12, attr=ord("u") + (0o040755 << 8), ptr=(1, 2, 3)), entry(2, 1, 2, "b", date=0, size=None, attr=None, ptr=None)], E)
     lines = [r["line"] for r in compare.report(rows, fragments=True).orderBy("dt_path").collect()]

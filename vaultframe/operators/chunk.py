@@ -132,15 +132,41 @@ def redundancy(size: int, hits: int, table: bytes, recent: list[bytes] = ()) ->
     return min(size, max(hits, uneven, never, alike * size // 1024))
 
 
-def chunk_content(files: DataFrame, key: str, content: str, f: int = 6) -> DataFrame:
-    """(key, pos, off, len, sha1, hits, is_text, is_code): fragments of each content; a null content has none."""
+def redundancies(sizes, hits, tables, recent=None):
+    """:func:`redundancy` of many pieces at once: numpy arrays of sizes and hits, of tables (n, 256) and of recent tables (n, 4, 256), where a table of zeros stands for none."""
+    import numpy as np
+
+    cost = np.array([32768 // ((k + 1) * 204) for k in range(255)], np.int64)
+    out = np.zeros(len(sizes), np.int64)
+    for at in range(0, len(sizes), 1024):
+        size, t = np.asarray(sizes[at : at + 1024], np.int64), tables[at : at + 1024]
+        n = len(size)
+        rows = np.arange(n)[:, None]
+        counts = np.bincount((rows * 256 + t).ravel(), minlength=n * 256).reshape(n, 256)
+        # How many bytes follow more than k others, for each k.
+        more = np.bincount((rows * 257 + counts).ravel(), minlength=n * 257).reshape(n, 257)[:, ::-1].cumsum(1)[:, ::-1][:, 1:256]
+        left = size - (more * (size[:, None] * cost >> 15)).sum(1)
+        never = np.minimum(counts[:, 0], 255) * size // 256
+        alike = 4 * counts[:, 0] if recent is None else (recent[at : at + 1024] == t[:, None, :]).sum((1, 2))
+        best = np.maximum.reduce([np.asarray(hits[at : at + 1024], np.int64), left * left // np.maximum(size, 1), never, alike * size // 1024])
+        out[at : at + n] = np.minimum(size, best)
+    return out
+
+
+def chunk_content(files: DataFrame, key: str, content: str, f: int = 6, tables: bool = False) -> DataFrame:
+    """(key, pos, off, len, sha1, hits, is_text, is_code, redundancy): fragments of each content; a null content has none.
+
+    The redundancy is that of a piece by itself; for what it has in common with
+    those before it, ``tables`` adds a column ``table``.
+    """
 
     def run(batches):
         import hashlib
 
+        import numpy as np
         import pyarrow as pa
 
-        names = [key, "pos", "off", "len", "sha1", "hits", "is_text", "is_code"]
+        names = [key, "pos", "off", "len", "sha1", "hits", "is_text", "is_code", "table"]
         for batch in batches:
             keys, data = batch.column(0), batch.column(1).to_pylist()
             some = [k for k, d in enumerate(data) if d is not None]
@@ -148,13 +174,17 @@ def chunk_content(files: DataFrame, key: str, content: str, f: int = 6) -> DataF
             for k, pieces in zip(some, fragments_of([data[k] for k in some], f)):
                 for pos, x in enumerate(pieces):
                     at.append(k)
-                    for c, v in zip(cols, (pos, x.begin, x.end - x.begin, hashlib.sha1(data[k][x.begin : x.end]).digest(), x.hits, is_text(x.table), is_code(x.table))):
+                    for c, v in zip(cols, (pos, x.begin, x.end - x.begin, hashlib.sha1(data[k][x.begin : x.end]).digest(), x.hits, is_text(x.table), is_code(x.table), x.table)):
                         c.append(v)
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.bool_(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, kinds))], names)
+            saved = redundancies(cols[2], cols[4], np.frombuffer(b"".join(cols[-1]), np.uint8).reshape(-1, 256))
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary())
+            made = [keys.take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, kinds))]
+            made.insert(-1, pa.array(saved))
+            yield pa.RecordBatch.from_arrays(made if tables else made[:-1], [*names[:-1], "redundancy", *(names[-1:] if tables else [])])
 
     kind = files.schema[key].dataType.simpleString()
-    return files.select(key, F.col(content).cast("binary")).mapInArrow(run, f"`{key}` {kind}, pos int, off bigint, len bigint, sha1 binary, hits bigint, is_text boolean, is_code boolean")
+    schema = f"`{key}` {kind}, pos int, off bigint, len bigint, sha1 binary, hits bigint, is_text boolean, is_code boolean, redundancy bigint{', table binary' if tables else ''}"
+    return files.select(key, F.col(content).cast("binary")).mapInArrow(run, schema)
 
 
 def chunk_fixed(files: DataFrame, key: str, content: str, nbytes: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vaultframe.operators import chunk
 from vaultframe.operators.numbering import number_rows
 
 
@@ -68,9 +69,37 @@ def fold_into_blocks(pieces: list[dict], block_size: int) -> list[int]:
     return out
 
 
+def shared_redundancy(pieces: DataFrame, order: list[str], least: int, by: str = "block_no") -> DataFrame:
+    """(by, len, is_text, is_code, redundancy): pieces with the redundancy that they have after those before them in their block.
+
+    Each piece is compared with the tables of the last four of at least ``least``
+    bytes before it in ``order``. A block's pieces are worked through in one task.
+    """
+
+    def run(group):
+        import numpy as np
+        import pyarrow as pa
+
+        group = group.sort_by([(c, "ascending") for c in order])
+        sizes, own = (group.column(c).to_numpy() for c in ("len", "redundancy"))
+        tables = np.frombuffer(b"".join(group.column("table").to_pylist()), np.uint8).reshape(-1, 256)
+        large = sizes >= least
+        kept = np.concatenate((np.zeros((4, 256), np.uint8), tables[large]))
+        before = np.cumsum(large) - large
+        made = [group.column(c) for c in (by, "len", "is_text", "is_code")]
+        out = np.zeros(len(sizes), np.int64)
+        for k in range(0, len(sizes), 1024):
+            part = slice(k, k + 1024)
+            out[part] = chunk.redundancies(sizes[part], own[part], tables[part], kept[before[part, None] + np.arange(4)])
+        return pa.table([*made, pa.array(out)], [by, "len", "is_text", "is_code", "redundancy"])
+
+    rows = pieces.select(by, *order, "len", "is_text", "is_code", "redundancy", "table")
+    return rows.groupBy(by).applyInArrow(run, f"`{by}` {pieces.schema[by].dataType.simpleString()}, len bigint, is_text boolean, is_code boolean, redundancy bigint")
+
+
 def block_hints(pieces: DataFrame, by: str = "block_no") -> DataFrame:
-    """Redundancy 0..255 and kind (1 text, 2 code) of each block from its pieces' hits, is_text and is_code."""
-    sums = pieces.groupBy(by).agg(F.count("*").alias("n"), F.sum("hits").alias("saved"), F.sum("len").alias("bytes"), F.sum(F.when(F.col("is_code"), 4).otherwise(0)).alias("code"), F.sum(F.when(F.col("is_text"), 2).otherwise(0)).alias("text"))
+    """Redundancy 0..255 and kind (1 text, 2 code) of each block from its pieces' redundancy, is_text and is_code."""
+    sums = pieces.groupBy(by).agg(F.count("*").alias("n"), F.sum("redundancy").alias("saved"), F.sum("len").alias("bytes"), F.sum(F.when(F.col("is_code"), 4).otherwise(0)).alias("code"), F.sum(F.when(F.col("is_text"), 2).otherwise(0)).alias("text"))
     kind = F.when(F.col("code") > F.col("n"), 2).otherwise(0) + F.when(F.col("text") > F.col("n"), 1).otherwise(0)
     return sums.select(by, F.col("n").alias("frags"), F.col("bytes"), F.floor(F.col("saved") / (F.floor(F.col("bytes") / 256) + 1)).cast("bigint").alias("redundancy"), kind.cast("int").alias("kind"))
 

@@ -124,8 +124,8 @@ def cdc_fragments(spark, sf_dir):
 
 @query()
 def block_methods(spark, sf_dir):
-    pieces = chunk.chunk_content(spread(_docs(spark, sf_dir).select("doc_id", "text")), "doc_id", "text", 0).withColumn("block_no", F.floor(F.col("doc_id") / 256))
-    hints = packing.block_hints(pieces)
+    pieces = chunk.chunk_content(spread(_docs(spark, sf_dir).select("doc_id", "text")), "doc_id", "text", 0, tables=True).withColumn("block_no", F.floor(F.col("doc_id") / 256))
+    hints = packing.block_hints(packing.shared_redundancy(pieces, ["doc_id", "pos"], chunk.size_limits(0)[0]))
     klass = packing.size_class(F.col("bytes"))
     return hints.select("*", *(packing.choose_method(k, F.col("redundancy"), F.col("kind"), klass).alias(f"method_{k}") for k in range(6)))
 

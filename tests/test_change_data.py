@@ -186,6 +186,26 @@ def test_ledger_survives_failure_and_late_rows(spark, rows):
     assert sorted(r["entry_id"] for r in seen.select("entry_id").collect()) == sorted(e[0] for e in entries if e[8] <= last)
 
 
+def test_late_rows_of_old_transactions(spark, rows):
+    """With the default grace: rows that show up long after their loading time, of transactions quiet for days, unknown so far, or begun long ago and still open."""
+    due = successful_runs(spark.createDataFrame(some_runs(), RUNS))
+    row = lambda i, v, seq, hour, date=1: (i, 1, v, seq, "p", date, 1, 1, T0 + timedelta(hours=hour), "x")
+    steady = [row(1, 1, 1, 1), row(2, 1, 2, 8), row(3, 2, 1, 2), row(4, 2, 2, 90), row(5, 3, 1, 140), row(6, 3, 2, 190)]
+    second = [row(7, 1, 1, 5, 2), row(8, 4, 1, 3), row(9, 2, 3, 4), row(10, None, 1, 6)]
+    third = [row(11, 1, 3, 7), row(12, 4, 1, 2, 5), row(13, 5, None, 1)]
+    ledger = ProcessedLedger(spark, scratch_path(spark, "ledger-late"))
+    ids = lambda: sorted((e, r) for r, e in rows(ledger.taken()))
+    frame = lambda entries: spark.createDataFrame(entries, ENTRIES)
+    ledger.process(frame(steady), due[:3])
+    assert [e for e, _ in ids()] == [1, 2, 3, 4]
+    ledger.process(frame(steady + second), due[3:5])
+    assert [e for e, _ in ids()] == [1, 2, 3, 4, 5, 7, 8, 9, 10]
+    ledger.process(frame(steady + second + third + second[:1]), due[5:])
+    assert [e for e, _ in ids()] == list(range(1, 14))
+    late = {e: r for e, r in ids() if e >= 7}
+    assert {late[e] for e in (7, 8, 9, 10)} == {due[3][0]} and {late[e] for e in (11, 12, 13)} == {due[5][0]}
+
+
 def test_incremental_of_nothing(spark):
     runs = spark.createDataFrame(some_runs(), RUNS)
     assert incremental_takes(spark.createDataFrame([], ENTRIES), runs).count() == 0

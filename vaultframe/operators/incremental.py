@@ -31,15 +31,18 @@ def _run_of(loaded: Column, runs: list[tuple[int, int]]) -> Column:
 class ProcessedLedger:
     """Ledger of processed rows in a folder that all executors share.
 
-    A pass handles one or more successful runs that are due. It rereads the
-    source from the beginning of the oldest transaction that was still open at
-    the last run, removes by an anti-join the (record, row) pairs that the
-    ledger already has, and takes of the rest the records that are new or whose
-    date changed. A transaction (version_id) counts as open at a run if it had
-    a row loaded within ``grace_hours`` before it. Each pass writes ``seen``
-    (all its rows) and ``states`` (a record's last row in each run, with whether
-    it was taken), then commits by one renamed file; a pass that fails before
-    that leaves nothing that is read, and is simply done again.
+    A pass handles one or more successful runs that are due. It counts the
+    source's rows a transaction (version_id) and compares that with the table
+    ``transactions`` of the pass before, one row a version_id. A transaction is
+    open if its rows aren't those counted then, however old they are, or if it
+    had a row loaded within ``grace_hours`` before the last run. The pass
+    rereads the open transactions from the first loading time of the oldest,
+    removes by an anti-join the (record, row) pairs that the ledger already
+    has, and takes of the rest the records that are new or whose date changed.
+    Each pass writes ``transactions``, ``seen`` (all its rows) and ``states`` (a
+    record's last row in each run, with whether it was taken), then commits by
+    one renamed file; a pass that fails before that leaves nothing that is
+    read, and is simply done again.
     """
 
     def __init__(self, spark: SparkSession, path: str, grace_hours: int = 24):
@@ -64,20 +67,24 @@ class ProcessedLedger:
         runs = [r for r in runs if r[0] not in done]
         if not runs:
             return
-        low = log[-1]["open_since"] if log else None
-        loaded = F.unix_micros(F.col("loaded_at").cast("timestamp"))
-        rows = source.select(*RECORD, "entry_id", "loaded_at", "dt_date").filter(F.col("loaded_at") <= F.timestamp_micros(F.lit(runs[-1][1])).cast(source.schema["loaded_at"].dataType))
-        if low is not None:
-            rows = rows.filter(F.col("loaded_at") >= F.timestamp_micros(F.lit(low)).cast(source.schema["loaded_at"].dataType))
-            rows = rows.withColumn("loaded_us", loaded)
-            overlap = [p for p in log if p["until"] >= low]
-            seen = self._read("seen", overlap).filter(F.col("loaded_us") >= low).select(*(F.col(c).alias(f"l_{c}") for c in (*RECORD, "entry_id", "loaded_us")))
-            same = [F.col(c).eqNullSafe(F.col(f"l_{c}")) for c in (*RECORD, "entry_id", "loaded_us")]
-            rows = rows.join(seen, same, "left_anti")
-        else:
-            rows = rows.withColumn("loaded_us", loaded)
-        rows = rows.select(*RECORD, "entry_id", "loaded_us", F.when(F.col("dt_date") != -1, F.col("dt_date")).alias("dt_date"), _run_of(F.col("loaded_us"), runs).alias("run_no"))
         name = f"pass-{len(log):06d}"
+        moment = lambda us: F.timestamp_micros(F.lit(us)).cast(source.schema["loaded_at"].dataType)
+        rows = source.select(*RECORD, "entry_id", "loaded_at", "dt_date").filter(F.col("loaded_at") <= moment(runs[-1][1])).withColumn("loaded_us", F.unix_micros(F.col("loaded_at").cast("timestamp")))
+        # Counted before the rows are read: what comes between the two is found by the next pass.
+        counts = (F.min("loaded_us").alias("lo"), F.max("loaded_us").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("seq_no", "entry_id", "loaded_us")).alias("mark"))
+        rows.groupBy("version_id").agg(*counts).write.mode("overwrite").parquet(f"{self.path}/transactions/{name}")
+        if log:
+            still = self._open(name, log[-1])
+            low = still.agg(F.min("lo")).first()[0]
+            low = runs[-1][1] if low is None else low
+            of_open = lambda frame: frame.join(still.select(F.col("version_id").alias("o_version_id")), F.col("version_id").eqNullSafe(F.col("o_version_id")), "left_semi")
+            rows = of_open(rows.filter(F.col("loaded_at") >= moment(low)))
+            seen = self._read("seen", [p for p in log if p["until"] >= low])
+            if seen is not None:
+                seen = of_open(seen.filter(F.col("loaded_us") >= low)).select(*(F.col(c).alias(f"l_{c}") for c in (*RECORD, "entry_id", "loaded_us")))
+                same = [F.col(c).eqNullSafe(F.col(f"l_{c}")) for c in (*RECORD, "entry_id", "loaded_us")]
+                rows = rows.join(seen, same, "left_anti")
+        rows = rows.select(*RECORD, "entry_id", "loaded_us", F.when(F.col("dt_date") != -1, F.col("dt_date")).alias("dt_date"), _run_of(F.col("loaded_us"), runs).alias("run_no"))
         rows.write.mode("overwrite").parquet(f"{self.path}/seen/{name}")
         rows = self.spark.read.parquet(f"{self.path}/seen/{name}")
 
@@ -97,15 +104,18 @@ class ProcessedLedger:
         taken = first | ~F.col("dt_date").eqNullSafe(F.lag("dt_date").over(w))
         heads.withColumn("taken", taken).filter(~F.col("_old")).drop("_old", "_k").write.mode("overwrite").parquet(f"{self.path}/states/{name}")
 
-        open_since = self._open_since([p for p in log if low is None or p["until"] >= low], name, runs[-1][1])
-        log.append({"dir": name, "runs": [r for r, _ in runs], "until": runs[-1][1], "open_since": open_since})
+        log.append({"dir": name, "runs": [r for r, _ in runs], "until": runs[-1][1], "counted": True})
         write_text(self.spark, f"{self.path}/commits.json", json.dumps(log))
 
-    def _open_since(self, log: list[dict], name: str, at: int) -> int:
-        """First loading time, within the passes that are reread anyway, of the oldest transaction open at ``at``; ``at`` itself if none is."""
-        rows = self._read("seen", [*log, {"dir": name}]).groupBy("version_id").agg(F.min("loaded_us").alias("lo"), F.max("loaded_us").alias("hi"))
-        found = rows.filter(F.col("hi") > at - self.grace).agg(F.min("lo")).first()[0]
-        return at if found is None else min(found, at)
+    def _open(self, name: str, last: dict) -> DataFrame:
+        """(version_id, lo) of the transactions counted in pass ``name`` that are open since the pass ``last``, with their first loading time; all of them if that one has no counts."""
+        now = self._read("transactions", [{"dir": name}])
+        if not last.get("counted"):
+            return now.select("version_id", "lo")
+        then = self._read("transactions", [last]).select(*(F.col(c).alias(f"t_{c}") for c in ("version_id", "hi", "n", "mark")))
+        both = now.join(then, F.col("version_id").eqNullSafe(F.col("t_version_id")), "left")
+        as_before = (F.col("n") == F.col("t_n")) & (F.col("mark") == F.col("t_mark")) & (F.col("t_hi") <= last["until"] - self.grace)
+        return both.filter(~F.coalesce(as_before, F.lit(False))).select("version_id", "lo")
 
     def taken(self) -> DataFrame:
         """(run_no, entry_id) of all records taken so far."""

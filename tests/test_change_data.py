@@ -82,6 +82,17 @@ def test_history_round_trip_and_as_of(spark, rows):
         assert rows(stored.as_of(at)) == rows(held)
 
 
+def test_default_stride_reaches_checkpoints(spark, rows):
+    rnd = random.Random(6)
+    entries, vers = [(e[0], 1, rnd.randrange(33), *e[3:]) for e in some_entries(6)], versions(33)
+    e, v = spark.createDataFrame(entries, ENTRIES), spark.createDataFrame(vers, VERSIONS)
+    history = CheckpointHistory.build(committed_records(e, v))
+    assert rows(history.periods().select("archive_id", "dt_path", "valid_from", "valid_to")) == brute_periods(entries, vers)
+    assert history.checkpoints.filter("was_alive or dt_size is not null").select("epoch").distinct().count() >= 3
+    held = history.periods().filter("valid_from <= 30 and (valid_to = 0 or valid_to > 30)").drop("valid_from", "valid_to")
+    assert rows(history.as_of(30)) == rows(held)
+
+
 def test_periods_of_nothing(spark):
     e, v = spark.createDataFrame([], ENTRIES), spark.createDataFrame([], VERSIONS)
     assert attribute_periods(e, v).count() == 0

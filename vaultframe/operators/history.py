@@ -20,6 +20,8 @@ from pyspark.sql.window import Window
 from vaultframe.session import scratch_path, write_bucketed
 
 ATTRIBUTES = ("dt_date", "dt_size", "dt_attr")
+#: Versions an epoch. Archives have some two dozen versions, so that most paths have several epochs.
+EVERY = 8
 
 
 def committed_records(entries: DataFrame, versions: DataFrame) -> DataFrame:
@@ -64,7 +66,7 @@ class CheckpointHistory:
         self.patches, self.checkpoints, self.keys, self.every = patches, checkpoints, list(keys), every
 
     @classmethod
-    def build(cls, records: DataFrame, keys: Sequence[str] = ("archive_id", "dt_path"), every: int = 32, folder: str | None = None) -> CheckpointHistory:
+    def build(cls, records: DataFrame, keys: Sequence[str] = ("archive_id", "dt_path"), every: int = EVERY, folder: str | None = None) -> CheckpointHistory:
         """From records of (keys, version_no, seq_no, is_delete, ATTRIBUTES); of a key's records in one version the largest seq_no counts.
 
         With a folder both tables are stored there in buckets of (keys, epoch), so
@@ -154,11 +156,11 @@ class CheckpointHistory:
             getattr(self, name).sortWithinPartitions(*self.keys).write.mode("overwrite").parquet(f"{path}/{name}")
 
     @classmethod
-    def read(cls, spark, path: str, keys: Sequence[str] = ("archive_id", "dt_path"), every: int = 32) -> CheckpointHistory:
+    def read(cls, spark, path: str, keys: Sequence[str] = ("archive_id", "dt_path"), every: int = EVERY) -> CheckpointHistory:
         return cls(spark.read.parquet(f"{path}/patches"), spark.read.parquet(f"{path}/checkpoints"), keys, every)
 
 
-def attribute_periods(entries: DataFrame, versions: DataFrame, every: int = 32) -> DataFrame:
+def attribute_periods(entries: DataFrame, versions: DataFrame, every: int = EVERY) -> DataFrame:
     """Periods in which each path's attributes held; see :func:`committed_records` for what counts.
 
     A delete ends the running period and forgets all values; an unrecorded

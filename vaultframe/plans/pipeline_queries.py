@@ -17,6 +17,12 @@ def p3_as_of(spark, sf_dir):
     return CheckpointHistory.build(records).as_of(5)
 
 
+def p3_as_of_late(spark, sf_dir):
+    """Near the end of the archives, where the state comes from checkpoints."""
+    records = committed_records(table(spark, sf_dir, "entries"), table(spark, sf_dir, "versions"))
+    return CheckpointHistory.build(records).as_of(30)
+
+
 def p4_found(spark, sf_dir):
     return snapshot_changes(table(spark, sf_dir, "snapshots"), table(spark, sf_dir, "deliveries")).select("root_id", "snap_no", "dt_path", "mark")
 
@@ -64,4 +70,6 @@ seq AS (SELECT *, row_number() OVER w AS k, lag(d) OVER w AS pd FROM heads WINDO
 SELECT CAST(run_no AS INTEGER) AS run_no, entry_id FROM seq WHERE k = 1 OR d IS DISTINCT FROM pd""",
 }
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_as_of, p4_found, p6_found)}
+SQL["p3_as_of_late"] = SQL["p3_as_of"].replace("version_no <= 5", "version_no <= 30")
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_as_of, p3_as_of_late, p4_found, p6_found)}

@@ -61,3 +61,28 @@ def test_columns_survive_damage(spark):
     assert all(bytes(back[k]["data"]) == c for k, c in enumerate(CONTENTS) if k != 4)
     assert back[99]["data"] is None and back[99]["unpack_error"] is None
     assert pack_column(frame.limit(0), "data", "zstd").count() == 0
+
+
+def test_every_document_passes_every_codec(spark, rows, tmp_path, monkeypatch):
+    import hashlib
+
+    from vaultframe.functions import codecs
+    from vaultframe.plans.store_queries import codec_roundtrip
+
+    long = random.Random(4)
+    words = ["".join(long.choices("etaoin é", k=long.randrange(2, 9))) for _ in range(400)]
+    texts = ["", "a", "b" * 70_000, TEXT.decode() * 40, " ".join(long.choice(words) for _ in range(20_000)), None]
+    texts.append(texts[4][:50_000] + "x" * 300 + texts[4][:50_000])
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    passed, pack = {}, codecs.pack_column
+
+    def counted(frame, column, method=None, method_col=None):
+        passed[method] = frame.count()
+        return pack(frame, column, method, method_col)
+
+    monkeypatch.setattr(codecs, "pack_column", counted)
+    got = rows(codec_roundtrip(spark, str(tmp_path)))
+    assert got == sorted(((k, hashlib.sha1(t.encode()).hexdigest()) for k, t in enumerate(texts) if t is not None), key=repr)
+    specs = [parse_method(m or "store") for m in passed]
+    assert {s.kind for s in specs} == {"zstd", "x"} and {s.transform for s in specs if s.kind == "x"} == {1, 2, 3} and any(s.code for s in specs)
+    assert set(passed.values()) == {6}

@@ -10,6 +10,8 @@ from vaultframe.sources.vault import Selection, Vault
 from vaultframe.streaming.journal import dedupe_against, deduped
 
 QUERIES, SQL = {}, {}
+#: Methods that every document passes: zstd, LZ77 packed and in bytes, Burrows-Wheeler, and LZ77 after call targets.
+CODECS = ("zstd", "x0,1,4,0,1,15", "x0,2,12,0,7,21,1", "x0,3", "x0,5,4,0,3,20")
 
 
 def query(sql: str | None = None):
@@ -69,9 +71,11 @@ def vault_stats(spark, sf_dir):
 
 @query("SELECT doc_id, sha1(text) AS sha1 FROM documents WHERE text IS NOT NULL")
 def codec_roundtrip(spark, sf_dir):
-    docs = spread(table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.col("text").cast("binary").alias("data")))
-    packed = codecs.pack_column(docs.withColumn("method", F.when(F.col("doc_id") % 2 == 0, "zstd").otherwise("store")), "data", method_col="method")
-    return codecs.unpack_column(packed, "data").select("doc_id", F.sha1("data").alias("sha1"))
+    """Every document through one codec after the other, each packing what the one before unpacked; an error of any shows in the checksum."""
+    rows = spread(table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.col("text").cast("binary").alias("data")))
+    for method in CODECS:
+        rows = codecs.unpack_column(codecs.pack_column(rows, "data", method), "data").select("doc_id", "data")
+    return rows.select("doc_id", F.sha1("data").alias("sha1"))
 
 
 @query("SELECT frag_id, CAST(octet_length(ht_sha1) AS BIGINT) * 2 AS n, lower(hex(ht_sha1)) AS doubled FROM fragments WHERE ht_sha1 IS NOT NULL".replace("lower(hex(ht_sha1)) AS doubled", "lower(regexp_replace(hex(ht_sha1), '(..)', '\\1\\1', 'g')) AS doubled"))

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -101,6 +102,18 @@ def test_errors_measured_and_derived(spark, stream):
     assert 0 < r["wrong"] and abs(r["wrong"] - r["derived_errors"]) < 5 * r["derived_errors"] ** 0.5
 
 
+def test_lost_fingerprints_are_missed(spark, stream, monkeypatch):
+    from vaultframe.llm import seenfilter
+
+    segments, seeds = stream
+    filtered = seenfilter.filtered_stream
+    lossy = lambda *a: filtered(*a).withColumn("flagged", F.col("repeat") | (F.col("flagged") & (F.col("seq") % 5 != 0)))
+    monkeypatch.setattr(seenfilter, "filtered_stream", lossy)
+    r = filter_errors(spark.createDataFrame(segments, SEGMENTS), spark.createDataFrame(seeds, SEEDS), 10).first()
+    assert r["seen"] == len(brute(segments, seeds)) and r["missed"] > 0
+    assert r["measured_rate"] == pytest.approx((r["wrong"] + r["missed"]) / r["keys"])
+
+
 def test_nothing_and_repeated_rows(spark, rows):
     none = spark.createDataFrame([], SEGMENTS)
     assert seen_segments(none).count() == 0

@@ -261,12 +261,13 @@ def filtered_stream(segments: DataFrame, seeds: DataFrame | None = None, remaind
 
 
 def checked_stream(segments: DataFrame, seeds: DataFrame | None = None, remainder_bits: int = REMAINDER_BITS) -> DataFrame:
-    """The filtered stream with ``seen``: the exact answer, which only flagged rows need to be checked for."""
+    """The filtered stream with ``exact``, the answer of the exact keys alone, and ``seen``, that of the filters where it is checked: only flagged rows need to be."""
     rows = filtered_stream(segments, seeds, remainder_bits)
     first = F.min("seq").over(Window.partitionBy("key"))
     # Repeats have no key; a window over their nulls would gather them in one task.
     spread = rows.withColumn("key", F.coalesce("key", F.unhex(F.hex("seq"))))
-    return spread.withColumn("seen", F.col("repeat") | (F.col("flagged") & (F.col("seq") > first)))
+    exact = F.col("repeat") | (F.col("seq") > first)
+    return spread.withColumn("exact", exact).withColumn("seen", F.col("repeat") | (F.col("flagged") & F.col("exact")))
 
 
 def seen_segments(segments: DataFrame, seeds: DataFrame | None = None, remainder_bits: int = REMAINDER_BITS) -> DataFrame:
@@ -284,17 +285,18 @@ def filter_errors(segments: DataFrame, seeds: DataFrame | None = None, remainder
 
     A new key is flagged if another key's fingerprint equals its own. With f
     fingerprints in the range then, of 2^b possible ones, that has probability
-    f / 2^b; ``derived_errors`` is the sum over the new keys. Keys once seen are
-    always flagged, so ``missed`` is 0.
+    f / 2^b; ``derived_errors`` is the sum over the new keys. ``seen`` is counted
+    by the exact keys, independent of the filters; ``missed`` is what the filters
+    lost of it, 0 if they work, and a part of the measured rate.
     """
     bits, range_bits = fingerprint_bits(segments.count() + (seeds.count() if seeds is not None else 0), remainder_bits)
     rows = checked_stream(segments, seeds, remainder_bits).filter("seq >= 0")
-    new = ~F.col("seen")
+    new = ~F.col("exact")
     out = rows.agg(
         F.count("*").alias("keys"),
-        F.sum(F.col("seen").cast("bigint")).alias("seen"),
+        F.sum(F.col("exact").cast("bigint")).alias("seen"),
         F.sum((F.col("flagged") & new).cast("bigint")).alias("wrong"),
-        F.sum((~F.col("flagged") & F.col("seen")).cast("bigint")).alias("missed"),
+        F.sum((~F.col("flagged") & F.col("exact")).cast("bigint")).alias("missed"),
         F.sum(F.when(new, F.col("earlier") / F.lit(float(1 << (bits - range_bits)))).otherwise(0.0)).alias("derived_errors"),
     )
-    return out.select("*", F.lit(bits).alias("fingerprint_bits"), (F.col("wrong") / F.col("keys")).alias("measured_rate"), (F.col("derived_errors") / F.col("keys")).alias("derived_rate"))
+    return out.select("*", F.lit(bits).alias("fingerprint_bits"), ((F.col("wrong") + F.col("missed")) / F.col("keys")).alias("measured_rate"), (F.col("derived_errors") / F.col("keys")).alias("derived_rate"))

@@ -36,3 +36,15 @@ def test_query(spark, con, name):
 def test_names():
     assert set(catalogue.SQL) <= set(catalogue.QUERIES)
     assert catalogue.FLAGSHIP in catalogue.QUERIES
+
+
+def test_late_comparisons_reach_the_whole_journal(spark):
+    """Every one of the comparisons has a cut that the entries of late versions go into."""
+    from vaultframe.plans.archive_queries import _late
+
+    versions = spark.read.parquet(str(DATA / "versions.parquet")).select("version_id", "version_no")
+    last = versions.agg({"version_no": "max"}).first()[0]
+    old, new = (side.join(versions.withColumnRenamed("version_no", "_v"), "version_id").agg({"_v": "max"}).first()[0] for side in _late(spark, str(DATA)))
+    assert 4 < old < new <= last
+    for name in ("diff_marks", "diff_counts", "diff_hide_marks", "deletes_between", "common_unchanged", "add_reads", "add_writes", "restore_actions"):
+        assert catalogue.SQL[f"{name}_late"] != catalogue.SQL[name] and f"{name}_late" in catalogue.QUERIES

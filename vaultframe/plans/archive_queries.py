@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from vaultframe.functions import dates, paths
@@ -114,7 +116,8 @@ def commit_dates(spark, sf_dir):
     return journal.commit_dates(table(spark, sf_dir, "versions"))
 
 
-_MARKED = f"""WITH {_both("place > 2", "place > 4")},
+def _marked(a: str, b: str) -> str:
+    return f"""WITH {_both(a, b)},
 j AS (SELECT coalesce(a.archive_id, b.archive_id) AS archive_id, coalesce(a.dt_path, b.dt_path) AS dt_path, a.dt_date AS ad, a.dt_size AS az, a.dt_attr AS aa, b.dt_date AS bd, b.dt_size AS bz, b.dt_attr AS ba,
   CASE WHEN a.entry_id IS NULL THEN '+' WHEN b.entry_id IS NULL THEN '-' WHEN a.dt_date IS NOT DISTINCT FROM b.dt_date AND a.dt_size IS NOT DISTINCT FROM b.dt_size
     AND (coalesce(a.dt_attr, 0) = 0 OR coalesce(b.dt_attr, 0) = 0 OR a.dt_attr = b.dt_attr) THEN '=' ELSE '#' END AS m
@@ -123,49 +126,62 @@ marked AS (SELECT archive_id, dt_path, m AS mark, CASE WHEN m = '+' THEN bd ELSE
   UNION ALL SELECT archive_id, dt_path, '+', bd, bz, ba FROM j WHERE m = '#')"""
 
 
+_MARKED = _marked("place > 2", "place > 4")
+
+
 def _two(spark, sf_dir):
     return _snapshot(spark, sf_dir, 2), _snapshot(spark, sf_dir, 4)
 
 
+def _late(spark, sf_dir):
+    """Eight versions before the end and the latest, so that the whole journal goes in."""
+    return _snapshot(spark, sf_dir, -8), _snapshot(spark, sf_dir)
+
+
 @query(f"{_MARKED} SELECT * FROM marked")
-def diff_marks(spark, sf_dir):
-    return compare.compare(*_two(spark, sf_dir))
+def diff_marks(spark, sf_dir, sides=_two):
+    return compare.compare(*sides(spark, sf_dir))
 
 
 @query(f"{_MARKED} SELECT archive_id, count(*) FILTER (WHERE mark = '=') AS same, count(*) FILTER (WHERE mark = '#') AS different, count(*) FILTER (WHERE mark = '+') AS external, count(*) FILTER (WHERE mark = '-') AS internal FROM marked GROUP BY archive_id")
-def diff_counts(spark, sf_dir):
-    return compare.mark_counts(compare.compare(*_two(spark, sf_dir)), "archive_id")
+def diff_counts(spark, sf_dir, sides=_two):
+    return compare.mark_counts(compare.compare(*sides(spark, sf_dir)), "archive_id")
 
 
 @query(f"{_MARKED} SELECT * FROM marked WHERE mark NOT IN ('=', '#')")
-def diff_hide_marks(spark, sf_dir):
-    return compare.compare(*_two(spark, sf_dir), hide="#")
+def diff_hide_marks(spark, sf_dir, sides=_two):
+    return compare.compare(*sides(spark, sf_dir), hide="#")
 
 
 @query(f"{_MARKED} SELECT archive_id, dt_path FROM marked WHERE mark = '-'")
-def deletes_between(spark, sf_dir):
-    return compare.needs_delete(*_two(spark, sf_dir)).select("archive_id", "dt_path")
+def deletes_between(spark, sf_dir, sides=_two):
+    return compare.needs_delete(*sides(spark, sf_dir)).select("archive_id", "dt_path")
 
 
 @query(f"{_MARKED} SELECT archive_id, dt_path FROM marked WHERE mark = '='")
-def common_unchanged(spark, sf_dir):
-    both = compare.matched(*_two(spark, sf_dir))
+def common_unchanged(spark, sf_dir, sides=_two):
+    both = compare.matched(*sides(spark, sf_dir))
     return both.filter(F.col("has_a") & F.col("has_b") & compare.same_by_metadata()).select("archive_id", "dt_path")
 
 
 @query(f"{_MARKED} SELECT archive_id, dt_path, bd AS dt_date, bz AS dt_size, ba AS dt_attr FROM j WHERE m <> '-' AND NOT ends_with(dt_path, '/') AND (m = '+' OR ad IS DISTINCT FROM bd OR az IS DISTINCT FROM bz)")
-def add_reads(spark, sf_dir):
-    return compare.needs_reading(*_two(spark, sf_dir))
+def add_reads(spark, sf_dir, sides=_two):
+    return compare.needs_reading(*sides(spark, sf_dir))
 
 
 @query(f"{_MARKED} SELECT archive_id, dt_path, bd AS dt_date, bz AS dt_size, ba AS dt_attr FROM j WHERE m <> '-' AND (m = '+' OR ad IS DISTINCT FROM bd OR az IS DISTINCT FROM bz OR coalesce(aa <> 0 AND aa IS DISTINCT FROM ba, false))")
-def add_writes(spark, sf_dir):
-    return compare.needs_entry(*_two(spark, sf_dir))
+def add_writes(spark, sf_dir, sides=_two):
+    return compare.needs_entry(*sides(spark, sf_dir))
 
 
 @query(f"{_MARKED} SELECT archive_id, dt_path, CASE WHEN m = '-' THEN '>' WHEN m = '=' THEN '=' ELSE '?' END AS action FROM j WHERE m <> '+'")
-def restore_actions(spark, sf_dir):
-    return compare.restore_actions(*_two(spark, sf_dir))
+def restore_actions(spark, sf_dir, sides=_two):
+    return compare.restore_actions(*sides(spark, sf_dir))
+
+
+for _f in (diff_marks, diff_counts, diff_hide_marks, deletes_between, common_unchanged, add_reads, add_writes, restore_actions):
+    QUERIES[f"{_f.__name__}_late"] = partial(_f, sides=_late)
+    SQL[f"{_f.__name__}_late"] = SQL[_f.__name__].replace(_MARKED, _marked("place > held - 8", "false"))
 
 
 @query(r"""SELECT entry_id, dt_path FROM entries WHERE regexp_full_match(dt_path, '(?s)vol./.*(/.*)?') AND regexp_full_match(dt_path, '(?s).*/.*\.(html|jpg)(/.*)?') AND NOT regexp_full_match(dt_path, '(?s)vol1/Archive(/.*)?') AND NOT starts_with(dt_path, 'vol2/')""")

@@ -217,6 +217,34 @@ def test_late_rows_of_old_transactions(spark, rows):
     assert {late[e] for e in (7, 8, 9, 10)} == {due[3][0]} and {late[e] for e in (11, 12, 13)} == {due[5][0]}
 
 
+@pytest.mark.parametrize("seed", [21, 22])
+def test_growing_source_with_failures(spark, rows, seed):
+    """A pass a run over a source that grows; every second pass fails once, before its commit. Nothing is lost or taken twice, and states are merged on the way."""
+    rnd = random.Random(seed)
+    due = successful_runs(spark.createDataFrame(some_runs(), RUNS)) * 1
+    due = [(r + 100 * k, at + k) for r, at in due for k in range(2)]
+    entries = some_entries(seed, 150)
+    shows = {e[0]: rnd.randrange(len(due)) for e in entries}
+    folder, failed = scratch_path(spark, "ledger-grows"), 0
+    for k, run in enumerate(due):
+        there = spark.createDataFrame([e for e in entries if shows[e[0]] <= k], ENTRIES)
+        if k % 2:
+            broken = there.withColumn("dt_date", F.when(F.col("entry_id") >= 0, F.raise_error(F.lit("lost")).cast("bigint")))
+            log = ProcessedLedger(spark, folder)._log()
+            try:
+                ProcessedLedger(spark, folder).process(broken, [run])
+            except Exception:  # noqa: BLE001
+                assert ProcessedLedger(spark, folder)._log() == log
+                failed += 1
+        ProcessedLedger(spark, folder).process(there, [run])
+    ledger = ProcessedLedger(spark, folder)
+    assert failed >= 4 and any(p.get("newest") for p in ledger._log())
+    seen = spark.read.parquet(*(f"{folder}/seen/{p['dir']}" for p in ledger._log()))
+    assert sorted(r["entry_id"] for r in seen.select("entry_id").collect()) == sorted(e[0] for e in entries if e[8] <= T0 + timedelta(microseconds=due[-1][1] - int(T0.timestamp() * 10**6)))
+    ids = [e for _, e in rows(ledger.taken())]
+    assert len(ids) == len(set(ids))
+
+
 def test_incremental_of_nothing(spark):
     runs = spark.createDataFrame(some_runs(), RUNS)
     assert incremental_takes(spark.createDataFrame([], ENTRIES), runs).count() == 0

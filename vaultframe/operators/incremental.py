@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 from vaultframe.session import read_text, scratch_path, write_text
 
 RECORD = ("version_id", "seq_no")
+#: Passes whose states are read one by one; then they are merged into one table with the newest state of each record.
+APART = 8
 
 
 def successful_runs(runs: DataFrame) -> list[tuple[int, int]]:
@@ -28,6 +30,13 @@ def _run_of(loaded: Column, runs: list[tuple[int, int]]) -> Column:
     return F.when(loaded <= runs[half - 1][1], _run_of(loaded, runs[:half])).otherwise(_run_of(loaded, runs[half:]))
 
 
+def _newest(states: DataFrame) -> DataFrame:
+    """The last loaded state of each record, then that of the largest entry_id."""
+    rest = ("entry_id", "loaded_us", "dt_date", "run_no")
+    last = F.max_by(F.struct(*rest), F.struct("loaded_us", F.coalesce("entry_id", F.lit(-(1 << 63)).cast("bigint"))))
+    return states.groupBy(*RECORD).agg(last.alias("s")).select(*RECORD, *(F.col(f"s.{c}").alias(c) for c in rest))
+
+
 class ProcessedLedger:
     """Ledger of processed rows in a folder that all executors share.
 
@@ -40,19 +49,27 @@ class ProcessedLedger:
     removes by an anti-join the (record, row) pairs that the ledger already
     has, and takes of the rest the records that are new or whose date changed.
     Each pass writes ``transactions``, ``seen`` (all its rows) and ``states`` (a
-    record's last row in each run, with whether it was taken), then commits by
-    one renamed file; a pass that fails before that leaves nothing that is
-    read, and is simply done again.
+    record's last row in each run, with whether it was taken), after APART
+    passes also ``newest`` (each record's newest state so far, which the next
+    ones read in place of all earlier states), then commits by one file that no
+    pass replaces; a pass that fails before that leaves nothing that is read,
+    and is simply done again.
     """
 
     def __init__(self, spark: SparkSession, path: str, grace_hours: int = 24):
         self.spark, self.path, self.grace = spark, path.rstrip("/"), grace_hours * 3600 * 10**6
+        self._kinds: dict[str, str] = {}
 
     def _log(self) -> list[dict]:
         return json.loads(read_text(self.spark, f"{self.path}/commits.json") or "[]")
 
     def _read(self, name: str, passes: list[dict]) -> DataFrame | None:
-        return self.spark.read.parquet(*(f"{self.path}/{name}/{p['dir']}" for p in passes)) if passes else None
+        if not passes:
+            return None
+        kinds = passes[-1].get("kinds") or self._kinds
+        state = (*RECORD, "entry_id", "loaded_us", "dt_date", "run_no")
+        columns = {"transactions": ("version_id", "lo", "hi", "n", "mark"), "seen": state, "newest": state, "states": (*state, "taken")}[name]
+        return self.spark.read.schema(", ".join(f"{c} {kinds[c]}" for c in columns)).parquet(*(f"{self.path}/{name}/{p['dir']}" for p in passes))
 
     def process(self, source: DataFrame, runs: list[tuple[int, int]]) -> None:
         """One pass for the given runs, in order of their start; those already committed are left out.
@@ -68,6 +85,8 @@ class ProcessedLedger:
         if not runs:
             return
         name = f"pass-{len(log):06d}"
+        own = {c: source.schema[c].dataType.simpleString() for c in (*RECORD, "entry_id", "dt_date")}
+        self._kinds = {**own, **dict.fromkeys(("loaded_us", "lo", "hi", "n", "mark"), "bigint"), "run_no": "int", "taken": "boolean"}
         moment = lambda us: F.timestamp_micros(F.lit(us)).cast(source.schema["loaded_at"].dataType)
         rows = source.select(*RECORD, "entry_id", "loaded_at", "dt_date").filter(F.col("loaded_at") <= moment(runs[-1][1])).withColumn("loaded_us", F.unix_micros(F.col("loaded_at").cast("timestamp")))
         # Counted before the rows are read: what comes between the two is found by the next pass.
@@ -84,29 +103,42 @@ class ProcessedLedger:
                 seen = of_open(seen.filter(F.col("loaded_us") >= low)).select(*(F.col(c).alias(f"l_{c}") for c in (*RECORD, "entry_id", "loaded_us")))
                 same = [F.col(c).eqNullSafe(F.col(f"l_{c}")) for c in (*RECORD, "entry_id", "loaded_us")]
                 rows = rows.join(seen, same, "left_anti")
-        rows = rows.select(*RECORD, "entry_id", "loaded_us", F.when(F.col("dt_date") != -1, F.col("dt_date")).alias("dt_date"), _run_of(F.col("loaded_us"), runs).alias("run_no"))
+        rows = rows.select(*RECORD, "entry_id", "loaded_us", F.when(F.col("dt_date") != -1, F.col("dt_date")).alias("dt_date"), _run_of(F.col("loaded_us"), runs).cast("int").alias("run_no"))
         rows.write.mode("overwrite").parquet(f"{self.path}/seen/{name}")
-        rows = self.spark.read.parquet(f"{self.path}/seen/{name}")
+        rows = self._read("seen", [{"dir": name}])
 
         last = Window.partitionBy(*RECORD, "run_no").orderBy(F.desc("loaded_us"), F.desc_nulls_last("entry_id"), F.desc_nulls_last("dt_date"))
         heads = rows.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n").withColumn("_old", F.lit(False))
         order = {r: k for k, (r, _) in enumerate(runs)}
         heads = heads.withColumn("_k", F.create_map(*(F.lit(x) for kv in order.items() for x in kv))[F.col("run_no")])
-        earlier = self._read("states", log)
+        earlier = self._earlier(log)
         if earlier is not None:
             keys = heads.select(*(F.col(c).alias(f"k_{c}") for c in RECORD)).distinct()
-            known = earlier.join(keys, [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in RECORD], "left_semi")
-            newest = Window.partitionBy(*RECORD).orderBy(F.desc("loaded_us"), F.desc_nulls_last("entry_id"))
-            known = known.withColumn("_n", F.row_number().over(newest)).filter("_n = 1")
-            heads = heads.unionByName(known.select(*RECORD, "entry_id", "loaded_us", "dt_date", "run_no", F.lit(True).alias("_old"), F.lit(-1).alias("_k")))
+            known = _newest(earlier.join(keys, [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in RECORD], "left_semi"))
+            heads = heads.unionByName(known.withColumns({"_old": F.lit(True), "_k": F.lit(-1)}))
         w = Window.partitionBy(*RECORD).orderBy("_k")
         first = F.row_number().over(w) == 1
         taken = first | ~F.col("dt_date").eqNullSafe(F.lag("dt_date").over(w))
         heads.withColumn("taken", taken).filter(~F.col("_old")).drop("_old", "_k").write.mode("overwrite").parquet(f"{self.path}/states/{name}")
 
-        log.append({"dir": name, "runs": [r for r, _ in runs], "until": runs[-1][1], "counted": True})
+        log.append({"dir": name, "runs": [r for r, _ in runs], "until": runs[-1][1], "counted": True, "kinds": self._kinds})
+        if len(self._apart(log)) >= APART:
+            _newest(self._earlier(log)).write.mode("overwrite").parquet(f"{self.path}/newest/{name}")
+            log[-1]["newest"] = True
         write_text(self.spark, f"{self.path}/commits.json", json.dumps(log))
 
+    def _apart(self, log: list[dict]) -> list[dict]:
+        """The passes since the last that wrote ``newest``."""
+        return log[max((k + 1 for k, p in enumerate(log) if p.get("newest")), default=0) :]
+
+    def _earlier(self, log: list[dict]) -> DataFrame | None:
+        """States among which is the newest of each record: those merged last, and those of the passes since."""
+        columns = (*RECORD, "entry_id", "loaded_us", "dt_date", "run_no")
+        since = self._apart(log)
+        merged = log[: len(log) - len(since)][-1:]
+        parts = [x.select(*columns) for x in (self._read("newest", merged), self._read("states", since)) if x is not None]
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]) if parts else None
+
     def _open(self, name: str, last: dict) -> DataFrame:
         """(version_id, lo) of the transactions counted in pass ``name`` that are open since the pass ``last``, with their first loading time; all of them if that one has no counts."""
         now = self._read("transactions", [{"dir": name}])

@@ -31,6 +31,11 @@ def p6_found(spark, sf_dir):
     return incremental_takes(table(spark, sf_dir, "entries"), table(spark, sf_dir, "runs"))
 
 
+def ledger_each_run(spark, sf_dir):
+    """Every run is a pass of its own, so that each border between runs goes through the ledger."""
+    return incremental_takes(table(spark, sf_dir, "entries"), table(spark, sf_dir, "runs"), runs_per_pass=1)
+
+
 _RECORDS = """
 recs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY version_id, seq_no ORDER BY loaded_at DESC, entry_id DESC) AS rn FROM entries WHERE dt_path IS NOT NULL) WHERE rn = 1),
 one AS (SELECT * FROM (
@@ -72,4 +77,6 @@ SELECT CAST(run_no AS INTEGER) AS run_no, entry_id FROM seq WHERE k = 1 OR d IS
 
 SQL["p3_as_of_late"] = SQL["p3_as_of"].replace("version_no <= 5", "version_no <= 30")
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_as_of, p3_as_of_late, p4_found, p6_found)}
+SQL["ledger_each_run"] = SQL["p6_found"]
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_as_of, p3_as_of_late, p4_found, p6_found, ledger_each_run)}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -49,12 +51,14 @@ def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> S
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where none is set."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one on a local master. A cluster without the setting is an error, as no folder of one machine would do."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if folder is None:
         folder = context.getCheckpointDir()
     if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir isn't set: it names the folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="vaultframe-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
@@ -62,6 +66,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _SCRATCH: dict[str, list[str]] = {}
+_TABLES: dict[str, list[str]] = {}
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -72,11 +77,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def clear_scratch(spark: SparkSession) -> None:
-    """Deletes what this application has put below the shared folder, when no result that reads it is needed any more."""
-    jvm = spark.sparkContext._jvm
+    """Deletes what this application has put below the shared folder, and its tables in the catalogue, when no result that reads them is needed any more."""
+    for name in _TABLES.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     for path in _SCRATCH.pop(spark.sparkContext.applicationId, []):
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        target, fs = _file(spark, path)
+        fs.delete(target, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str):
@@ -87,6 +93,7 @@ def write_bucketed(rows, folder: str, buckets: int, *key: str):
     """Writes a table below a folder in buckets of a key, one sorted file each, and reads it back: joins and windows on the key then need no exchange."""
     name = f"vaultframe_{uuid.uuid4().hex}"
     rows.repartition(buckets, *key).write.bucketBy(buckets, *key).sortBy(*key).option("path", f"{folder}/{name}").saveAsTable(name)
+    _TABLES.setdefault(rows.sparkSession.sparkContext.applicationId, []).append(name)
     return rows.sparkSession.table(name)
 
 
@@ -101,29 +108,53 @@ def spread(frame):
     return frame if splits >= cores else frame.repartition(cores)
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small file in one step: to a temporary name first, then renamed over."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    part = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
-    out = fs.create(part, True)
-    out.write(bytearray(text.encode()))
-    out.close()
-    fs.delete(target, False)
-    if not fs.rename(part, target):
-        raise OSError(f"{path} can't be committed")
+def _file(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def read_text(spark: SparkSession, path: str) -> str | None:
-    """Content of a small file, None where there is none."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(target):
-        return None
-    stream = fs.open(target)
+def _read_whole(spark: SparkSession, path) -> str | None:
+    """The text of one numbered file, None if it isn't whole."""
+    stream = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(path)
     try:
-        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+        digest, _, body = bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).partition(b"\n")
     finally:
         stream.close()
+    return body.decode() if hashlib.sha256(body).hexdigest().encode() == digest else None
+
+
+def _numbered(spark: SparkSession, path: str) -> list[tuple[int, object]]:
+    """(number, path) of the files of a small text, the latest first."""
+    target, fs = _file(spark, path)
+    found = fs.listStatus(target.getParent()) if fs.exists(target.getParent()) else []
+    mine = ((re.fullmatch(re.escape(target.getName()) + r"\.(\d{9})", f.getPath().getName()), f.getPath()) for f in found)
+    return sorted(((int(m[1]), p) for m, p in mine if m), key=lambda x: -x[0])
+
+
+#: Earlier texts that are kept beside the latest.
+KEPT = 2
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Commits a small text in one step, as the next of the numbered files ``path.NNNNNNNNN``.
+
+    It is written under a temporary name and renamed to a number that no file
+    has, with its checksum in the first line; the largest number of a whole file
+    is the text that counts. So at any moment either the text before or the new
+    one is read. Two writers can't take one number: the second is refused.
+    """
+    number = max((n for n, _ in _numbered(spark, path)), default=0) + 1
+    part, fs = _file(spark, f"{path}.{uuid.uuid4().hex}.tmp")
+    out = fs.create(part, False)
+    out.write(bytearray(hashlib.sha256(text.encode()).hexdigest().encode() + b"\n" + text.encode()))
+    out.close()
+    target = _file(spark, f"{path}.{number:09d}")[0]
+    if fs.exists(target) or not fs.rename(part, target):
+        raise OSError(f"{path} was committed by another writer")
+    for _, old in _numbered(spark, path)[KEPT + 1 :]:
+        fs.delete(old, False)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The text committed last, None where there is none; a file that isn't whole counts as not there."""
+    return next((x for _, p in _numbered(spark, path) if (x := _read_whole(spark, p)) is not None), None)

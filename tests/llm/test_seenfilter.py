@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from vaultframe.llm.seenfilter import Cascade, QuotientFilter, decode_key, decode_many, filter_errors, fingerprints, seen_segments
+from vaultframe.llm.seenfilter import QuotientFilter, SeenStore, decode_key, decode_many, filter_errors, fingerprints, seed_segments, seen_segments, take_all
 
 SEGMENTS = "seg_id bigint, ht_sha1 string, ht_usize int, key string, flagged string"
 SEEDS = "key_no int, ht_sha1 binary, seq bigint"
@@ -42,21 +42,20 @@ def test_filter_holds_its_fingerprints(a, b, remainder):
     make = lambda s: QuotientFilter(np.array(sorted(s), np.uint64), 12, remainder)
     x, y = make(a), make(b)
     assert x.prints().tolist() == sorted(a)
-    assert x.merged(y).prints().tolist() == sorted(a | b)
+    assert x.merged(np.array(sorted(b - a), np.uint64)).prints().tolist() == sorted(a | b)
+    assert QuotientFilter.load(x.dump()).prints().tolist() == sorted(a) and y.n == len(b)
     every = np.arange(2**12, dtype=np.uint64)
     assert x.contains(every).tolist() == [k in a for k in range(2**12)]
 
 
-def test_cascade_is_a_set_in_order():
-    rnd, cascade, known = random.Random(1), Cascade(20), set()
-    for _ in range(60):
-        batch = [rnd.randrange(3000) for _ in range(rnd.randrange(1, 200))]
-        earlier, seen = cascade.seen_then_add(np.array(batch, np.uint64))
-        for x, n, s in zip(batch, earlier, seen):
-            assert (n, s) == (len(known), x in known)
-            known.add(x)
-    assert cascade.n == len(known) and len(cascade.levels) < 12
-    assert sum(level.nbytes for level in cascade.levels) < 8 * len(known)
+def test_a_large_filter_is_small_and_complete():
+    rnd = np.random.default_rng(1)
+    prints = np.unique(rnd.integers(0, 1 << 30, 200_000).astype(np.uint64))
+    x = QuotientFilter.sized(prints, 30)
+    assert x.contains(prints).all() and x.nbytes < 8 * len(prints)
+    others = np.setdiff1d(rnd.integers(0, 1 << 30, 50_000).astype(np.uint64), prints)
+    assert not x.contains(others).any()
+    assert QuotientFilter.load(x.dump()).contains(prints).all()
 
 
 def test_every_byte_of_a_key_counts():
@@ -106,14 +105,52 @@ def test_lost_fingerprints_are_missed(spark, stream, monkeypatch):
     from vaultframe.llm import seenfilter
 
     segments, seeds = stream
-    filtered = seenfilter.filtered_stream
-    lossy = lambda *a: filtered(*a).withColumn("flagged", F.col("repeat") | (F.col("flagged") & (F.col("seq") % 5 != 0)))
-    monkeypatch.setattr(seenfilter, "filtered_stream", lossy)
+    read = seenfilter.SeenStore._read
+    lossy = lambda self, kind, numbers: read(self, kind, numbers).filter(F.col("seq").isNull() | (F.col("seq") % 5 != 0))
+    monkeypatch.setattr(seenfilter.SeenStore, "_read", lossy)
     r = filter_errors(spark.createDataFrame(segments, SEGMENTS), spark.createDataFrame(seeds, SEEDS), 10).first()
     assert r["seen"] == len(brute(segments, seeds)) and r["missed"] > 0
     assert r["measured_rate"] == pytest.approx((r["wrong"] + r["missed"]) / r["keys"])
 
 
+def test_only_flagged_fingerprints_reach_the_exact_step(spark, stream):
+    segments, seeds = stream
+    store, numbers = take_all(spark.createDataFrame(segments, SEGMENTS), spark.createDataFrame(seeds, SEEDS), remainder_bits=3)
+    candidates, earlier = store.compared(numbers)
+    flagged = {(r["range"], r["print"]) for r in candidates.collect()}
+    looked_at = earlier.collect()
+    every = store._read("key", range(max(numbers))).count()
+    assert {(r["range"], r["print"]) for r in looked_at} <= flagged and 0 < len({bytes(r["key"]) for r in looked_at}) < every
+    # What the filters say alone decides who is looked at: a fingerprint that an earlier intake has.
+    had = {}
+    for r in store._read("key", range(max(numbers) + 1)).unionByName(store._read("candidate", range(max(numbers) + 1))).collect():
+        had[r["range"], r["print"]] = min(r["intake"], had.get((r["range"], r["print"]), 99))
+    assert all(had[r["range"], r["print"]] < r["intake"] for r in candidates.collect())
+
+
+def test_a_later_session_goes_on(spark, rows, stream, tmp_path):
+    segments, seeds = stream
+    path = f"file://{tmp_path}/store"
+    frame = spark.createDataFrame(segments, SEGMENTS)
+    first = SeenStore(spark, path, 4000)
+    first.take(seed_segments(spark.createDataFrame(seeds, SEEDS)))
+    first.take(frame.filter("seg_id < 1000"))
+    with pytest.raises(Exception):  # noqa: B017
+        first.take(frame.filter("seg_id >= 1000").withColumn("ht_sha1", F.when(F.col("seg_id") > 2000, F.raise_error(F.lit("lost"))).otherwise(F.col("ht_sha1"))))
+    later = SeenStore(spark, path, 10)
+    assert (later.bits, later.intakes) == (first.bits, 2)
+    number = later.take(frame.filter("seg_id >= 1000"))
+    got = sorted(r["seq"] for r in later.seen([number]).collect())
+    assert got == [x for (x,) in brute(segments, seeds) if x >= 1000]
+
+
+@pytest.mark.parametrize("intakes", [1, 3, 9])
+def test_any_number_of_intakes(spark, rows, stream, intakes):
+    segments, seeds = stream
+    got = seen_segments(spark.createDataFrame(segments, SEGMENTS).repartition(3), spark.createDataFrame(seeds, SEEDS), 1, intakes)
+    assert rows(got) == brute(segments, seeds)
+
+
 def test_nothing_and_repeated_rows(spark, rows):
     none = spark.createDataFrame([], SEGMENTS)
     assert seen_segments(none).count() == 0

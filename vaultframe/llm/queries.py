@@ -20,7 +20,13 @@ def p2_found(spark, sf_dir):
 
 
 def p2_errors(spark, sf_dir):
-    return filter_errors(table(spark, sf_dir, "segments"), table(spark, sf_dir, "seed_keys"))
+    """Keys, those seen before by the exact list, and those of them that the filters missed."""
+    return filter_errors(table(spark, sf_dir, "segments"), table(spark, sf_dir, "seed_keys")).select("keys", "seen", "missed")
+
+
+def p2_rates(spark, sf_dir):
+    """The rates of wrong answers, measured and derived, of filters with remainders so short that there are some."""
+    return filter_errors(table(spark, sf_dir, "segments"), table(spark, sf_dir, "seed_keys"), remainder_bits=4)
 
 
 def p5_found(spark, sf_dir):
@@ -54,20 +60,24 @@ def p9_texts(spark, sf_dir):
 
 _BASE32_GROUP = "printf('%010X', CAST(list_sum(list_transform(range(8), lambda j: (strpos('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', substr(upper(b), CAST({g} + j + 1 AS BIGINT), 1)) - 1) * (CAST(1 AS BIGINT) << CAST(5 * (7 - j) AS INTEGER)))) AS BIGINT))"
 
+_KEYED = f"""WITH bare AS (SELECT seg_id, trim(regexp_replace(trim(ht_sha1, chr(9) || chr(10) || chr(13) || ' '), '^((urn:)?sha-?1\\s*[:=\\-]\\s*|0x)', '', 'i')) AS b FROM segments),
+forms AS (SELECT seg_id, b, regexp_replace(b, '[\\s:\\-_.]+', '', 'g') AS d FROM bare),
+keyed AS (SELECT seg_id, CASE
+    WHEN regexp_full_match(d, '[0-9A-Fa-f]{{40}}') THEN upper(d)
+    WHEN regexp_full_match(b, '[A-Za-z2-7]{{32}}') THEN {" || ".join(_BASE32_GROUP.format(g=8 * g) for g in range(4))}
+    WHEN regexp_full_match(b, '[A-Za-z0-9+/]{{27}}=?') THEN hex(from_base64(rtrim(b, '=') || '=')) END AS key FROM forms
+  UNION ALL SELECT -1, hex(ht_sha1) FROM seed_keys WHERE octet_length(ht_sha1) = 20)"""
+
 SQL = {
     "p1_found": """WITH known AS (SELECT frag_id, ht_sha1, ht_usize FROM fragments WHERE ht_usize > 0 AND ht_sha1 IS NOT NULL AND hex(ht_sha1) <> repeat('0', 40)),
 el AS (SELECT DISTINCT p.file_id, p.batch_no, k.ht_sha1, k.ht_usize AS w FROM (SELECT file_id, batch_no, unnest(dt_ptr) AS frag_id FROM batch_files) p JOIN known k USING (frag_id)),
 tot AS (SELECT file_id, batch_no, sum(w) AS t FROM el GROUP BY ALL),
 com AS (SELECT a.file_id AS file_a, b.file_id AS file_b, sum(a.w) AS c FROM el a JOIN el b ON a.ht_sha1 = b.ht_sha1 AND a.file_id < b.file_id WHERE b.batch_no >= 1 GROUP BY ALL)
 SELECT file_a, file_b FROM com JOIN tot x ON x.file_id = file_a JOIN tot y ON y.file_id = file_b WHERE c >= 0.6 * (x.t + y.t - c)""",
-    "p2_found": f"""WITH bare AS (SELECT seg_id, trim(regexp_replace(trim(ht_sha1, chr(9) || chr(10) || chr(13) || ' '), '^((urn:)?sha-?1\\s*[:=\\-]\\s*|0x)', '', 'i')) AS b FROM segments),
-forms AS (SELECT seg_id, b, regexp_replace(b, '[\\s:\\-_.]+', '', 'g') AS d FROM bare),
-keyed AS (SELECT seg_id, CASE
-    WHEN regexp_full_match(d, '[0-9A-Fa-f]{{40}}') THEN upper(d)
-    WHEN regexp_full_match(b, '[A-Za-z2-7]{{32}}') THEN {" || ".join(_BASE32_GROUP.format(g=8 * g) for g in range(4))}
-    WHEN regexp_full_match(b, '[A-Za-z0-9+/]{{27}}=?') THEN hex(from_base64(rtrim(b, '=') || '=')) END AS key FROM forms
-  UNION ALL SELECT -1, hex(ht_sha1) FROM seed_keys WHERE octet_length(ht_sha1) = 20)
+    "p2_found": f"""{_KEYED}
 SELECT seg_id FROM (SELECT seg_id, min(seg_id) OVER (PARTITION BY key) AS first_id FROM keyed WHERE key IS NOT NULL AND key <> repeat('0', 40)) WHERE seg_id > first_id AND seg_id >= 0""",
+    "p2_errors": f"""{_KEYED}
+SELECT count(*) AS keys, count(*) FILTER (WHERE seg_id > first_id) AS seen, CAST(0 AS BIGINT) AS missed FROM (SELECT seg_id, min(seg_id) OVER (PARTITION BY key) AS first_id FROM keyed WHERE key IS NOT NULL AND key <> repeat('0', 40)) WHERE seg_id >= 0""",
     "p5_found": """SELECT e.entry_id FROM (SELECT entry_id, unnest(dt_ptr) AS frag_id FROM entries) e JOIN fragments f USING (frag_id)
 WHERE f.ht_usize > 0 GROUP BY e.entry_id HAVING sum(f.ht_usize) > 524288""",
     "p9_found": f"""WITH k AS (SELECT doc_id, text, {form_sql("text")} AS form FROM documents WHERE text IS NOT NULL)
@@ -75,4 +85,4 @@ SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM k a JOIN k b ON a.form = b.form
     "p9_texts": f"""SELECT doc_id, {form_sql("text")} AS form FROM documents""",
 }
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_errors, p5_found, p5_pieces, p7_ids, p8_mix, p8_shares, p9_found, p9_texts)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_errors, p2_rates, p5_found, p5_pieces, p7_ids, p8_mix, p8_shares, p9_found, p9_texts)}

@@ -4,7 +4,7 @@ import random
 import pytest
 
 from vaultframe.llm import batchdedup
-from vaultframe.llm.batchdedup import repeated_files
+from vaultframe.llm.batchdedup import History, accepted, repeated_files
 
 FILES = "file_id bigint, batch_no int, dt_path string, dt_ptr array<bigint>, k string, c string"
 FRAGMENTS = "frag_id bigint, ht_sha1 binary, ht_usize int, total string, w string"
@@ -49,8 +49,8 @@ def make(seed, n=160, hot=False):
 @pytest.mark.parametrize("seed,hot", [(1, False), (2, True)])
 def test_all_cases_are_found(spark, rows, seed, hot, monkeypatch):
     if hot:
-        monkeypatch.setattr(batchdedup, "COMMON_LEAST", 5)
-        monkeypatch.setattr(batchdedup, "COMMON_ONE_IN", 10)
+        monkeypatch.setattr(batchdedup, "COMMON", 3)
+        monkeypatch.setattr(batchdedup, "RANGE_ROWS", 40)
     files, fragments = make(seed, hot=hot)
     got = repeated_files(spark.createDataFrame(files, FILES), spark.createDataFrame(fragments, FRAGMENTS))
     expected = brute(files, fragments)
@@ -58,8 +58,7 @@ def test_all_cases_are_found(spark, rows, seed, hot, monkeypatch):
 
 
 def test_a_fragment_that_all_have(spark, rows, monkeypatch):
-    monkeypatch.setattr(batchdedup, "COMMON_LEAST", 5)
-    monkeypatch.setattr(batchdedup, "COMMON_ONE_IN", 10)
+    monkeypatch.setattr(batchdedup, "COMMON", 5)
     rnd = random.Random(6)
     fragments = [(0, sha("all"), 6000, "", "")] + [(k, sha(k), rnd.choice([100, 1000, 2000, 4000, 4001, 9000]), "", "") for k in range(1, 200)]
     files = [(f, f // 50, "p", [0, f % 199 + 1, *([rnd.randrange(1, 200)] if f % 3 == 0 else [])], "", "") for f in range(200)]
@@ -75,6 +74,53 @@ def test_copies_of_one_content(spark):
     assert got.count() == 40 * 80 + 80 * 79 // 2 + 120
 
 
+def test_a_fragment_that_becomes_common_later(spark, rows, monkeypatch):
+    """Its earlier contents are entered anew; one that is heavy opens windows at first, and lies behind the entries later."""
+    monkeypatch.setattr(batchdedup, "COMMON", 4)
+    rnd = random.Random(11)
+    fragments = [(0, sha("late"), 5000, "", ""), (500, sha("other"), 4000, "", "")] + [(k, sha(k), rnd.choice([900, 1500, 3000]), "", "") for k in range(1, 120)]
+    files = []
+    for f in range(150):
+        base = rnd.sample(range(1, 120), 3)
+        files.append((f, f // 30, "p", [*([0] if f % 25 == 0 or f >= 60 else []), *([500] if f >= 90 else []), *base[: rnd.randrange(0, 4)]], "", ""))
+    history, later = accepted(spark.createDataFrame(files, FILES), spark.createDataFrame(fragments, FRAGMENTS))
+    expected = brute(files, fragments)
+    assert rows(history.pairs(later)) == expected and len(expected) > 100
+    assert sum(b["entered_again"] for b in history.state["batches"]) > 0
+
+
+def test_a_later_session_goes_on(spark, rows, monkeypatch, tmp_path):
+    monkeypatch.setattr(batchdedup, "RANGE_ROWS", 20)
+    monkeypatch.setattr(batchdedup, "MOST_RUNS", 2)
+    files, fragments = make(3)
+    files = [f for f in files if f[0] is not None]
+    frags, path = spark.createDataFrame(fragments, FRAGMENTS), f"file://{tmp_path}/history"
+    first, later = accepted(spark.createDataFrame([f for f in files if f[1] < 3], FILES), frags, path=path)
+    state = first.state
+    broken = spark.createDataFrame([(1, 5, 3)], "file_id bigint, k bigint, w bigint").selectExpr("file_id", "cast(raise_error('lost') as bigint) as k", "w")
+    with pytest.raises(Exception):  # noqa: B017
+        first.accept(broken, 3)
+    assert History(spark, path).state == state
+    second, later = accepted(spark.createDataFrame(files, FILES), frags, path=path)
+    assert second.batches == [0, 1, 2, 3, 4, 5] and later == [1, 2, 3, 4, 5]
+    assert rows(second.pairs(later)) == brute(files, fragments)
+    pairs = {(a, b) for a, b in rows(second.class_pairs())}
+    links = {f: (c, n) for f, c, n in rows(second.links())}
+    assert all(links[a][0] == a and links[b][0] == b for a, b in pairs)
+    assert all(n == sum(c in p for p in pairs) for c, n in links.values())
+    assert any(n < every for n, every in second.state["batches"][-1]["ranges_read"].values())
+
+
+def test_a_file_of_very_many_fragments(spark, rows):
+    """Rows grow with the fragments, not with their square."""
+    n = 20_000
+    fragments = spark.range(1, 2 * n).selectExpr("id as frag_id", "unhex(sha1(cast(id as string))) as ht_sha1", "10 as ht_usize", "'' as total", "'' as w")
+    files = spark.createDataFrame([(f, f, "p", [*range(1 + f * n // 10, 1 + f * n // 10 + n)], "", "") for f in range(3)], FILES)
+    history, later = accepted(files, fragments)
+    assert rows(history.pairs(later)) == [(0, 1), (0, 2), (1, 2)]
+    assert history.entries.read().count() <= 3 * (n * 2 // 5 + 1)
+
+
 def test_nothing(spark):
     files, fragments = make(1)
     none = spark.createDataFrame([], FILES)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vaultframe.llm.batchdedup import repeated_files
+from vaultframe.llm.batchdedup import accepted, repeated_files
 from vaultframe.llm.bpe import encode_texts
 from vaultframe.llm.mixing import Mix
 from vaultframe.llm.seenfilter import filter_errors, seen_segments
@@ -15,6 +15,16 @@ def p1_found(spark, sf_dir):
     return repeated_files(table(spark, sf_dir, "batch_files"), table(spark, sf_dir, "fragments"))
 
 
+def p1_links(spark, sf_dir):
+    """One row a file: its class, and the number of other classes that are cases with it."""
+    return accepted(table(spark, sf_dir, "batch_files"), table(spark, sf_dir, "fragments"))[0].links()
+
+
+def p1_class_pairs(spark, sf_dir):
+    """Pairs of classes; p1_links has their members."""
+    return accepted(table(spark, sf_dir, "batch_files"), table(spark, sf_dir, "fragments"))[0].class_pairs()
+
+
 def p2_found(spark, sf_dir):
     return seen_segments(table(spark, sf_dir, "segments"), table(spark, sf_dir, "seed_keys"))
 
@@ -60,6 +70,14 @@ def p9_texts(spark, sf_dir):
 
 _BASE32_GROUP = "printf('%010X', CAST(list_sum(list_transform(range(8), lambda j: (strpos('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', substr(upper(b), CAST({g} + j + 1 AS BIGINT), 1)) - 1) * (CAST(1 AS BIGINT) << CAST(5 * (7 - j) AS INTEGER)))) AS BIGINT))"
 
+_CONTENT = """WITH known AS (SELECT frag_id, ht_sha1, ht_usize FROM fragments WHERE ht_usize > 0 AND ht_sha1 IS NOT NULL AND hex(ht_sha1) <> repeat('0', 40)),
+el AS (SELECT DISTINCT p.file_id, p.batch_no, k.ht_sha1, k.ht_usize AS w FROM (SELECT file_id, batch_no, unnest(dt_ptr) AS frag_id FROM batch_files) p JOIN known k USING (frag_id)),
+tot AS (SELECT file_id, batch_no, sum(w) AS t FROM el GROUP BY ALL)"""
+_CLASSES = f"""{_CONTENT},
+s AS (SELECT file_id, min(file_id) OVER (PARTITION BY content) AS class_id FROM (SELECT file_id, string_agg(hex(ht_sha1), ' ' ORDER BY ht_sha1) AS content FROM el GROUP BY 1)),
+com AS (SELECT a.file_id AS a, b.file_id AS b, sum(a.w) AS c FROM el a JOIN el b ON a.ht_sha1 = b.ht_sha1 AND a.file_id < b.file_id WHERE a.file_id IN (SELECT class_id FROM s) AND b.file_id IN (SELECT class_id FROM s) GROUP BY ALL),
+alike AS (SELECT a, b FROM com JOIN tot x ON x.file_id = a JOIN tot y ON y.file_id = b WHERE c >= 0.6 * (x.t + y.t - c))"""
+
 _KEYED = f"""WITH bare AS (SELECT seg_id, trim(regexp_replace(trim(ht_sha1, chr(9) || chr(10) || chr(13) || ' '), '^((urn:)?sha-?1\\s*[:=\\-]\\s*|0x)', '', 'i')) AS b FROM segments),
 forms AS (SELECT seg_id, b, regexp_replace(b, '[\\s:\\-_.]+', '', 'g') AS d FROM bare),
 keyed AS (SELECT seg_id, CASE
@@ -69,11 +87,13 @@ keyed AS (SELECT seg_id, CASE
   UNION ALL SELECT -1, hex(ht_sha1) FROM seed_keys WHERE octet_length(ht_sha1) = 20)"""
 
 SQL = {
-    "p1_found": """WITH known AS (SELECT frag_id, ht_sha1, ht_usize FROM fragments WHERE ht_usize > 0 AND ht_sha1 IS NOT NULL AND hex(ht_sha1) <> repeat('0', 40)),
-el AS (SELECT DISTINCT p.file_id, p.batch_no, k.ht_sha1, k.ht_usize AS w FROM (SELECT file_id, batch_no, unnest(dt_ptr) AS frag_id FROM batch_files) p JOIN known k USING (frag_id)),
-tot AS (SELECT file_id, batch_no, sum(w) AS t FROM el GROUP BY ALL),
+    "p1_found": f"""{_CONTENT},
 com AS (SELECT a.file_id AS file_a, b.file_id AS file_b, sum(a.w) AS c FROM el a JOIN el b ON a.ht_sha1 = b.ht_sha1 AND a.file_id < b.file_id WHERE b.batch_no >= 1 GROUP BY ALL)
 SELECT file_a, file_b FROM com JOIN tot x ON x.file_id = file_a JOIN tot y ON y.file_id = file_b WHERE c >= 0.6 * (x.t + y.t - c)""",
+    "p1_links": f"""{_CLASSES}
+SELECT s.file_id, s.class_id, coalesce(n, 0) AS n_links FROM s LEFT JOIN (SELECT class_id, count(*) AS n FROM (SELECT a AS class_id FROM alike UNION ALL SELECT b FROM alike) GROUP BY 1) USING (class_id)""",
+    "p1_class_pairs": f"""{_CLASSES}
+SELECT a AS class_a, b AS class_b FROM alike""",
     "p2_found": f"""{_KEYED}
 SELECT seg_id FROM (SELECT seg_id, min(seg_id) OVER (PARTITION BY key) AS first_id FROM keyed WHERE key IS NOT NULL AND key <> repeat('0', 40)) WHERE seg_id > first_id AND seg_id >= 0""",
     "p2_errors": f"""{_KEYED}
@@ -85,4 +105,4 @@ SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM k a JOIN k b ON a.form = b.form
     "p9_texts": f"""SELECT doc_id, {form_sql("text")} AS form FROM documents""",
 }
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_errors, p2_rates, p5_found, p5_pieces, p7_ids, p8_mix, p8_shares, p9_found, p9_texts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_links, p1_class_pairs, p2_found, p2_errors, p2_rates, p5_found, p5_pieces, p7_ids, p8_mix, p8_shares, p9_found, p9_texts)}

@@ -1,5 +1,4 @@
 import random
-from itertools import chain
 
 import pytest
 import tiktoken
@@ -17,7 +16,9 @@ def plain():
 
 
 def ids(text):
-    return list(chain.from_iterable(encoder().encode(text)))
+    values, counts = encoder().encode_many([text])
+    assert counts.tolist() == [len(values)] == encoder().count_many([text]).tolist()
+    return values.tolist()
 
 
 @settings(max_examples=300, deadline=None)
@@ -32,6 +33,22 @@ def test_special_texts(plain, text):
     assert ids(text) == plain.encode_ordinary(text)
 
 
+def test_parts_and_forgetting(plain, monkeypatch):
+    """Long texts in several parts, many texts in one part, and a memory that is cleared on the way give the same ids."""
+    from vaultframe.llm import bpe
+
+    monkeypatch.setattr(bpe, "LONG", 50)
+    monkeypatch.setattr(bpe, "AT_ONCE", 7)
+    monkeypatch.setattr(bpe, "REMEMBERED", 20)
+    rnd = random.Random(4)
+    texts = [rnd.choice([None, "", "".join(rnd.choice("ab c9é.\n") for _ in range(rnd.randrange(200)))]) for _ in range(80)]
+    expected = [plain.encode_ordinary(t or "") for t in texts]
+    enc = TrieEncoder(encoder().ranks)
+    values, counts = enc.encode_many(texts)
+    assert values.tolist() == [i for x in expected for i in x] and counts.tolist() == list(map(len, expected))
+    assert enc.count_many(texts).tolist() == counts.tolist()
+
+
 def test_prefixes_are_walked_once():
     enc = TrieEncoder(encoder().ranks)
     words = [" inter", " international", " internationally", " interest", "x"]

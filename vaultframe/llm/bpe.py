@@ -13,7 +13,7 @@ from __future__ import annotations
 import base64
 import functools
 from collections.abc import Iterable, Iterator
-from itertools import chain, islice
+from itertools import chain, islice, repeat
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -24,8 +24,8 @@ VOCABULARY = "byte_bpe_50k"
 #: Fixed: the pattern that parts a text into words before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Words whose ids a worker remembers, words handled at once, and joined tokens whose encoding it remembers.
-REMEMBERED, AT_ONCE, PAIRS = 200_000, 100_000, 400_000
+#: Words whose ids a worker remembers, words handled at once, characters of a text whose words are listed as a whole, and joined tokens whose encoding a worker remembers.
+REMEMBERED, AT_ONCE, LONG, PAIRS = 200_000, 200_000, 1_000_000, 400_000
 
 
 class TrieEncoder:
@@ -37,9 +37,9 @@ class TrieEncoder:
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self.longest = max(map(len, ranks))
-        self.words = regex.compile(pattern).finditer
+        self.words, self.all_words = regex.compile(pattern).finditer, regex.compile(pattern).findall
         self._pairs: dict[tuple[int, int], bool] = {}
-        self._memo: dict[str, tuple[int, ...]] = {}
+        self._forget()
 
     def merge(self, text: bytes) -> list[int]:
         """Encoding by plain merges, lowest rank first; for short byte strings."""
@@ -83,15 +83,75 @@ class TrieEncoder:
             found[word] = tuple(reversed(ids))
         return found
 
-    def encode(self, text: str | None) -> Iterator[tuple[int, ...]]:
-        """The ids of each word of a text, in order; nothing for an empty or null one."""
-        it = (m.group() for m in self.words(text or ""))
-        while words := list(islice(it, AT_ONCE)):
-            if len(self._memo) > REMEMBERED:
-                self._memo.clear()
-            if new := set(words) - self._memo.keys():
-                self._memo.update(self.walk(new))
-            yield from map(self._memo.__getitem__, words)
+    def _forget(self) -> None:
+        import numpy as np
+
+        #: Number of each word met; where its ids begin among all ids, and how many it has.
+        self._memo: dict[str, int] = {}
+        self._ids, self._begin, self._count = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _numbers(self, words: list[str]):
+        """The number of each word; those not met are put into one trie and walked together."""
+        import numpy as np
+
+        if len(self._memo) > REMEMBERED:
+            self._forget()
+        numbers = np.fromiter(map(self._memo.get, words, repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(numbers < 0)
+        if len(unknown):
+            found = self.walk({words[k] for k in unknown.tolist()})
+            self._memo.update(zip(found, range(len(self._memo), len(self._memo) + len(found))))
+            count = np.fromiter(map(len, found.values()), np.int64, len(found))
+            self._begin = np.concatenate((self._begin, len(self._ids) + np.cumsum(count) - count))
+            self._count = np.concatenate((self._count, count))
+            self._ids = np.concatenate((self._ids, np.fromiter(chain.from_iterable(found.values()), np.int32, int(count.sum()))))
+            numbers[unknown] = np.fromiter((self._memo[words[k]] for k in unknown.tolist()), np.int64, len(unknown))
+        return numbers
+
+    def _parts(self, texts: Iterable[str | None]) -> Iterator[tuple[list[str], list[int], list[int]]]:
+        """The words of the texts, some AT_ONCE at a time: words, and the place of a text with its number of them; a long text comes in several parts."""
+        words, owner, held = [], [], []
+        for k, text in enumerate(texts):
+            it = iter([self.all_words(text)] if len(text or "") <= LONG else ()) if text else iter(())
+            if text and len(text) > LONG:
+                found = (m.group() for m in self.words(text))
+                it = iter(lambda: list(islice(found, AT_ONCE)), [])
+            for part in it:
+                words += part
+                owner.append(k)
+                held.append(len(part))
+                if len(words) >= AT_ONCE:
+                    yield words, owner, held
+                    words, owner, held = [], [], []
+        if words:
+            yield words, owner, held
+
+    def count_many(self, texts: list[str | None]):
+        """The number of ids of each text."""
+        import numpy as np
+
+        out = np.zeros(len(texts), np.int64)
+        for words, owner, held in self._parts(texts):
+            numbers = self._numbers(words)
+            sums = np.concatenate(([0], np.cumsum(self._count[numbers])))
+            ends = np.cumsum(held)
+            np.add.at(out, owner, sums[ends] - sums[ends - held])
+        return out
+
+    def encode_many(self, texts: list[str | None]):
+        """All ids of the texts, one after the other, and the number of each text's."""
+        import numpy as np
+
+        out, parts = np.zeros(len(texts), np.int64), [np.empty(0, np.int32)]
+        for words, owner, held in self._parts(texts):
+            numbers = self._numbers(words)
+            count = self._count[numbers]
+            upto = np.cumsum(count)
+            places = np.arange(int(upto[-1])) + np.repeat(self._begin[numbers] - (upto - count), count)
+            parts.append(self._ids[places])
+            sums, ends = np.concatenate(([0], upto)), np.cumsum(held)
+            np.add.at(out, owner, sums[ends] - sums[ends - held])
+        return np.concatenate(parts), out
 
 
 @functools.lru_cache(maxsize=2)
@@ -106,8 +166,9 @@ def encode_texts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Empty and null texts both give an empty list; repeated rows and null ids
     are rows like any other; texts of any length are encoded whole, a bounded
-    number of words at a time. The words are distinct within a worker, where a
-    bounded memory keeps the frequent ones, so nothing is shuffled.
+    number of words at a time. Of the words of many texts those that a worker
+    doesn't remember are walked as one trie; the ids of all are then gathered from
+    arrays. The memory is bounded, and nothing is shuffled.
     """
 
     def run(batches):
@@ -118,12 +179,9 @@ def encode_texts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             for k in range(0, max(batch.num_rows, 1), 512):
                 part = batch.slice(k, 512)
-                flat, ends = [], [0]
-                for text in part.column(1):
-                    flat.append(np.fromiter(chain.from_iterable(enc.encode(text.as_py())), np.int32))
-                    ends.append(ends[-1] + len(flat[-1]))
-                values = np.concatenate(flat) if flat else np.empty(0, np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))], [id_col, "ids"])
+                values, counts = enc.encode_many(part.column(1).to_pylist())
+                ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], [id_col, "ids"])
 
     kind = documents.schema[id_col].dataType.simpleString()
     return documents.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
@@ -137,8 +195,9 @@ def count_tokens(documents: DataFrame, text_col: str = "text", keep: tuple[str,
 
         enc = encoder(folder, vocabulary)
         for batch in batches:
-            counts = [sum(map(len, enc.encode(text.as_py()))) for text in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(counts, pa.int64())], [*keep, "n_tokens"])
+            for k in range(0, max(batch.num_rows, 1), 512):
+                part = batch.slice(k, 512)
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(enc.count_many(part.column(0).to_pylist()))], [*keep, "n_tokens"])
 
     kinds = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep)
     return documents.select(text_col, *keep).mapInArrow(run, f"{kinds}, n_tokens bigint")

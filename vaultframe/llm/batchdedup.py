@@ -22,7 +22,6 @@ in one folder with a manifest, which a later session opens.
 
 from __future__ import annotations
 
-import functools
 import json
 import math
 
@@ -41,7 +40,7 @@ STEP = 1.25
 #: Runs of a table are merged when there are more: the late ones, up to the first that is larger than all after it.
 MOST_RUNS = 8
 #: Rows that a range of a run is meant for, and the most bits of the key that choose it.
-RANGE_ROWS, RANGE_BITS = 1 << 16, 16
+RANGE_ROWS, RANGE_BITS = 1 << 20, 16
 
 _ZERO = b"\0" * 20
 
@@ -85,25 +84,33 @@ class Runs:
         folder = f"{self.name}/{number}"
         ranged = rows.withColumn("range", self._range(bits)).repartition(1 << bits, "range").sortWithinPartitions("range", self.key)
         ranged.write.mode("overwrite").partitionBy("range").parquet(f"{self.history.path}/{folder}")
-        self.listed.append({"dir": folder, "bits": bits, "rows": most})
-        return self._open(self.listed[-1], None)
+        ranges = self.history.ranges_in(folder) if bits else [0]
+        self.listed.append({"dir": folder, "bits": bits, "rows": most, "ranges": ranges})
+        return self.last()
 
-    def _open(self, run: dict, touched: set[int] | None, bits: int = 0) -> DataFrame:
-        rows = self.history.spark.read.schema(f"{self.schema}, range int").parquet(f"{self.history.path}/{run['dir']}")
-        if touched is not None and run["bits"]:
-            rows = rows.filter(F.col("range").isin(sorted({r >> (bits - run["bits"]) for r in touched})))
-        return rows.drop("range")
+    def last(self) -> DataFrame:
+        return self._open([f"{self.listed[-1]['dir']}"])
+
+    def _open(self, folders: list[str]) -> DataFrame:
+        """The files of folders of runs or of ranges, in one scan."""
+        if not folders:
+            return self.history.spark.createDataFrame([], self.schema)
+        reader = self.history.spark.read.schema(self.schema).option("recursiveFileLookup", "true")
+        return reader.parquet(*(f"{self.history.path}/{f}" for f in folders))
 
     def read(self, keys: DataFrame | None = None, listed: list[dict] | None = None) -> DataFrame:
         """All runs, or those given, of each the ranges that the keys fall into; at most 2^RANGE_BITS numbers of ranges reach the driver."""
         listed = self.listed if listed is None else listed
         bits = max((r["bits"] for r in listed), default=0)
-        touched = None
-        if keys is not None and bits:
-            touched = {r[0] for r in keys.select(self._range(bits)).distinct().collect()}
-            self.history.reads[self.name] = [len(touched), 1 << bits]
-        parts = [self._open(run, touched, bits) for run in listed] or [self.history.spark.createDataFrame([], self.schema)]
-        return functools.reduce(DataFrame.unionByName, parts)
+        if keys is None or not bits:
+            return self._open([r["dir"] for r in listed])
+        touched = {r[0] for r in keys.select(self._range(bits)).distinct().collect()}
+        self.history.reads[self.name] = [len(touched), 1 << bits]
+        folders = []
+        for run in listed:
+            mine = {r >> (bits - run["bits"]) for r in touched}
+            folders += [f"{run['dir']}/range={r}" for r in sorted(mine & set(run["ranges"]))] if len(mine) < len(run["ranges"]) else [run["dir"]]
+        return self._open(folders)
 
     def compact(self, number: str, merge=lambda rows: rows) -> list[str]:
         """Merges late runs if there are too many; gives the folders that are no longer used."""
@@ -112,7 +119,7 @@ class Runs:
         sizes = [r["rows"] for r in self.listed]
         begin = next((k for k in range(len(sizes)) if sizes[k] <= sum(sizes[k + 1 :])), len(sizes) - 2)
         late = self.listed[begin:]
-        rows = functools.reduce(DataFrame.unionByName, (self._open(run, None) for run in late))
+        rows = self._open([run["dir"] for run in late])
         del self.listed[begin:]
         self.write(merge(rows), f"{number}-merged", sum(r["rows"] for r in late))
         return [r["dir"] for r in late]
@@ -143,6 +150,16 @@ class History:
     def _committed(self) -> dict:
         return json.loads(read_text(self.spark, f"{self.path}/manifest.json") or "null") or {"percent": self.percent, "batches": [], "runs": {}}
 
+    def _folder(self, name: str):
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return target, target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def ranges_in(self, name: str) -> list[int]:
+        """Numbers of the ranges that a run has rows in."""
+        target, fs = self._folder(name)
+        names = (f.getPath().getName() for f in fs.listStatus(target))
+        return sorted(int(n[6:]) for n in names if n.startswith("range="))
+
     @property
     def batches(self) -> list[int]:
         return [b["batch_no"] for b in self.state["batches"]]
@@ -178,15 +195,15 @@ class History:
         common = ours.join(theirs, ["d", "k"]).groupBy("c", "d", "total", "dtotal").agg(F.sum("w").alias("common"))
         return common.filter(100 * F.col("common") >= self.percent * (F.col("total") + F.col("dtotal") - F.col("common"))).select("c", "d")
 
-    def accept(self, batch: DataFrame, batch_no: int) -> None:
-        """Takes in a batch (file_id, k, w), a row for each fragment of a file. Of its classes those not known are entered, and compared with the windows of all runs."""
+    def accept(self, batch: DataFrame, batch_no: int, most: int | None = None) -> None:
+        """Takes in a batch (file_id, k, w), a row for each fragment of a file; ``most``: their number, where it is known. Of its classes those not known are entered, and compared with the windows of all runs."""
         self.state = self._committed()
         if batch_no in self.batches:
             return
         number, enough = f"{len(self.batches):06d}", self.percent
         self.reads = {}
         rows = batch.select("file_id", "k", "w").repartition("file_id")
-        most = batch.count()
+        most = batch.count() if most is None else most
         # Three sums that don't depend on an order, so that no set is gathered in one cell.
         marks = (F.bit_xor(F.xxhash64("k")), F.bit_xor(F.xxhash64("k", F.lit(1))), F.count("*"))
         files = rows.groupBy("file_id").agg(F.sum("w").alias("total"), *(m.alias(f"m{i}") for i, m in enumerate(marks)))
@@ -223,7 +240,7 @@ class History:
         probes = self._probes(entered)
         other = self.entries.read(fresh).select("k", "step", F.col("rest").alias("drest"), F.col("c").alias("d"), F.col("total").alias("dtotal"))
         near = (100 + enough) * F.least("rest", "drest") >= enough * (F.col("total") + F.col("dtotal"))
-        found = probes.join(other.hint("merge"), ["k", "step"]).filter(near & (F.col("c") != F.col("d")))
+        found = probes.join(other, ["k", "step"]).filter(near & (F.col("c") != F.col("d")))
         # Of two new classes each finds the other, so one way round is enough.
         lower = F.col("c") < F.col("d")
         ends = [F.when(lower, F.col(a)).otherwise(F.col(b)).alias(n) for n, a, b in (("c", "c", "d"), ("d", "d", "c"), ("total", "total", "dtotal"), ("dtotal", "dtotal", "total"))]
@@ -245,8 +262,8 @@ class History:
         self.state["batches"].append({"batch_no": batch_no, **figures})
         write_text(self.spark, f"{self.path}/manifest.json", json.dumps(self.state))
         for folder in unused:
-            target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
-            target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            target, fs = self._folder(folder)
+            fs.delete(target, True)
 
     def pairs(self, batches: list[int]) -> DataFrame:
         """(file_a, file_b): the cases of the given batches against what came before each file, with all members of the classes; as large as its result."""
@@ -285,12 +302,12 @@ def accepted(files: DataFrame, fragments: DataFrame, percent: int = PERCENT, pat
         files = files.filter((F.col("batch_no") > 0) & ~F.col("batch_no").isin(done))
     weighted_fragments(files, fragments).write.partitionBy("batch_no").parquet(at)
     weighted = spark.read.schema("file_id bigint, k bigint, w bigint, batch_no int").parquet(at)
-    numbers = sorted(r["batch_no"] for r in weighted.select("batch_no").distinct().collect())
-    if any(n <= 0 for n in numbers):
-        history.accept(weighted.filter("batch_no <= 0"), 0)
-    later = [n for n in numbers if n > 0]
+    sizes = {r["batch_no"]: r["count"] for r in weighted.groupBy("batch_no").count().collect()}
+    if any(n <= 0 for n in sizes):
+        history.accept(weighted.filter("batch_no <= 0"), 0, sum(c for n, c in sizes.items() if n <= 0))
+    later = sorted(n for n in sizes if n > 0)
     for n in later:
-        history.accept(weighted.filter(F.col("batch_no") == n), n)
+        history.accept(weighted.filter(F.col("batch_no") == n), n, sizes[n])
     return history, sorted({*done, *later})
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from vaultframe.operators.history import CheckpointHistory, attribute_periods, committed_records
 from vaultframe.operators.incremental import ProcessedLedger, incremental_takes, successful_runs
+from vaultframe.operators import snapshots
 from vaultframe.operators.snapshots import snapshot_changes
 from vaultframe.session import scratch_path
 
@@ -102,14 +103,18 @@ SNAPS = "delivery_id bigint, root_id int, snap_no int, row_no int, dt_path strin
 DELIVERIES = "delivery_id bigint, root_id int, snap_no int, delivered_at timestamp, delivery_status string, dt_date string"
 
 
-def test_snapshot_changes(spark, rows):
-    rnd = random.Random(4)
+def some_snapshots(seed):
+    rnd = random.Random(seed)
     deliveries, snaps = [], []
     for d in range(14):
         root, snap = rnd.choice([1, 1, 1, 2]), rnd.randrange(1, 7)
         deliveries.append((d, root, snap, T0 + timedelta(days=rnd.randrange(9), seconds=d), rnd.choice(["complete", "complete", "aborted", None]), "z"))
         for k in range(rnd.randrange(0, 25)):
             snaps.append((d, root, snap, k, rnd.choice(["a", "b", "c", "", None, "d"]), rnd.choice([1, 2, -1, None]), rnd.choice([5, 6, None]), "m"))
+    return snaps, deliveries
+
+
+def brute_changes(snaps, deliveries):
     good = {}
     for d in deliveries:
         if d[4] == "complete" and ((d[1], d[2]) not in good or (d[3], d[0]) > (good[d[1], d[2]][3], good[d[1], d[2]][0])):
@@ -125,9 +130,47 @@ def test_snapshot_changes(spark, rows):
                 differs = p in old and p in new and any(x is not None and y is not None and x != y for x, y in zip(old[p], new[p]))
                 mark = "+" if p not in old else "-" if p not in new else "#" if differs else None
                 expected += [(root, snap, p, mark)] if mark else []
+    return sorted(expected, key=repr)
+
+
+@pytest.mark.parametrize("seed,lines", [(4, 1 << 16), (5, 2), (6, 1)])
+def test_snapshot_changes(spark, rows, seed, lines, monkeypatch):
+    monkeypatch.setattr(snapshots, "RANGE_LINES", lines)
+    snaps, deliveries = some_snapshots(seed)
     got = snapshot_changes(spark.createDataFrame(snaps + snaps[:5], SNAPS), spark.createDataFrame(deliveries, DELIVERIES))
-    assert rows(got.select("root_id", "snap_no", "dt_path", "mark")) == sorted(expected, key=repr)
-    assert expected
+    expected = brute_changes(snaps, deliveries)
+    assert rows(got.select("root_id", "snap_no", "dt_path", "mark")) == expected and expected
+
+
+@pytest.mark.parametrize("seed", [7, 8, 9])
+def test_snapshots_are_kept(spark, rows, seed, monkeypatch):
+    """Deliveries in any order over several intakes, some in place of others; only lines of new deliveries are given."""
+    monkeypatch.setattr(snapshots, "RANGE_LINES", 4)
+    rnd = random.Random(seed)
+    snaps, deliveries = some_snapshots(seed)
+    rnd.shuffle(deliveries)
+    store, given = snapshots.SnapshotStore(spark, scratch_path(spark, "snapshot-test")), []
+    for k in (4, 9, 9, 14):
+        new = [d[0] for d in deliveries[len(given) : k]]
+        given = deliveries[:k]
+        store.accept(spark.createDataFrame([s for s in snaps if s[0] in new], SNAPS), spark.createDataFrame(given, DELIVERIES))
+        there = {d[0] for d in given}
+        assert rows(store.changes().select("root_id", "snap_no", "dt_path", "mark")) == brute_changes([s for s in snaps if s[0] in there], given)
+
+
+def test_paths_of_one_hash_are_told_apart():
+    import pyarrow as pa
+
+    def listing(lines):
+        x = snapshots._Listing({})
+        x.parts = [pa.RecordBatch.from_arrays([pa.array([h for h, *_ in lines]), pa.array([p for _, p, *_ in lines]), pa.array([d for *_, d in lines]), pa.array([1] * len(lines))], ["h", "dt_path", "dt_date", "dt_size"])]
+        return x.close()
+
+    old = listing([(1, "a", 1), (1, "b", 1), (2, "c", 1), (3, "d", 1), (3, "d", 9), (5, "z", 1)])
+    new = listing([(1, "b", 2), (1, "x", 1), (2, "y", 1), (3, "d", 1), (4, "e", 1), (5, "z", 1), (5, "zz", 1)])
+    row = {"root_id": 1, "range": 0, "snap_no": 2, "delivery_id": 5, "prev_id": 4}
+    got = sorted((m, p) for b in snapshots._changes(old, new, row) for m, p in zip(b.column("mark").to_pylist(), b.column("dt_path").to_pylist()))
+    assert got == [("#", "b"), ("+", "e"), ("+", "x"), ("+", "y"), ("+", "zz"), ("-", "a"), ("-", "c")]
 
 
 def test_snapshot_tie_is_defined(spark, rows):

@@ -1,14 +1,27 @@
-"""What changed between consecutive full listings, by a merge over sorted ranges."""
+"""What changed between consecutive full listings, by merging sorted ranges of kept snapshots."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import math
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vaultframe.session import read_text, scratch_path, write_text
+
+#: Lines of the largest listing that a range is meant for when a store is made, and the most bits of the hashed path that choose it.
+RANGE_LINES, RANGE_BITS = 1 << 16, 20
+
+_TODO = "delivery_id bigint, root_id int, snap_no int, prev_id bigint, next_id bigint, next_snap int, fresh boolean"
+_CHAIN = "delivery_id bigint, root_id int, snap_no int, prev_id bigint, fresh boolean"
+_LINE = ("root_id", "range", "snap_no", "delivery_id", "prev_id", "next_id", "next_snap", "fresh", "h", "dt_path", "rank", "dt_date", "dt_size")
+_MADE = "root_id int, range int, snap_no int, delivery_id bigint, prev_id bigint, h bigint, dt_path string, mark string, old_date bigint, new_date bigint, old_size bigint, new_size bigint"
+
 
 def valid_deliveries(deliveries: DataFrame) -> DataFrame:
-    """The delivery that counts for each (root_id, snap_no), with the neighbouring snap_no of its root.
+    """The delivery that counts for each (root_id, snap_no), with ``prev_id``, that of the next smaller snap_no of its root.
 
     Complete deliveries only; of several the one with the latest delivered_at,
     then the largest delivery_id. Rows with a null root, number or id don't count.
@@ -17,54 +30,240 @@ def valid_deliveries(deliveries: DataFrame) -> DataFrame:
     latest = Window.partitionBy("root_id", "snap_no").orderBy(F.desc_nulls_last("delivered_at"), F.desc("delivery_id"))
     one = whole.withColumn("_n", F.row_number().over(latest)).filter("_n = 1")
     along = Window.partitionBy("root_id").orderBy("snap_no")
-    return one.select("delivery_id", "root_id", "snap_no", F.lag("snap_no").over(along).alias("prev_snap"), F.lead("snap_no").over(along).alias("next_snap"))
+    return one.select("delivery_id", F.col("root_id").cast("int").alias("root_id"), F.col("snap_no").cast("int").alias("snap_no"), F.lag("delivery_id").over(along).alias("prev_id"))
+
+
+def _combined(lines: DataFrame) -> DataFrame:
+    """The lines (delivery_id, dt_path, rank, ...) without those that a line of their own Arrow batch outranks, so that a path listed very often is exchanged once a batch."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            if rows.num_rows and rows.group_by(["delivery_id", "dt_path"]).aggregate([]).num_rows < rows.num_rows:
+                rows = rows.take(pc.sort_indices(rows, sort_keys=[("delivery_id", "ascending"), ("dt_path", "ascending"), ("rank", "descending")])).combine_chunks()
+                again = np.ones(rows.num_rows, bool)
+                again[0] = False
+                for c in ("delivery_id", "dt_path"):
+                    again[1:] &= pc.equal(rows.column(c)[1:], rows.column(c)[:-1]).to_numpy()
+                rows = rows.filter(pa.array(~again))
+            yield from rows.to_batches()
+
+    return lines.mapInArrow(run, lines.schema)
+
+
+class _Listing:
+    """One listing of a root in one range, sorted by (h, path); gathered batch by batch."""
+
+    def __init__(self, row: dict):
+        self.row, self.parts = row, []
+
+    def close(self) -> _Listing:
+        """The lines as arrays; of several lines for a path the first, which has the largest rank."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        lines = pa.Table.from_batches(self.parts).combine_chunks()
+        h, path = lines.column("h").to_numpy(), lines.column("dt_path").combine_chunks()
+        near = np.flatnonzero(h[1:] == h[:-1])
+        near = near[pc.equal(path.take(pa.array(near + 1)), path.take(pa.array(near))).to_numpy(zero_copy_only=False)]
+        if len(near):
+            keep = np.ones(len(h), bool)
+            keep[near + 1] = False
+            lines = lines.filter(pa.array(keep)).combine_chunks()
+        self.h, self.cols = lines.column("h").to_numpy(), {c: lines.column(c).combine_chunks() for c in ("h", "dt_path", "dt_date", "dt_size")}
+        return self
+
+    def take(self, column: str, at):
+        import pyarrow as pa
+
+        return self.cols[column].take(pa.array(at, pa.int64()))
+
+
+def _side_by_side(old: _Listing, new: _Listing):
+    """Places of the same path in two sorted listings, by one pass over both: the sort of two sorted runs that are put one after the other only merges them."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    n = len(old.h)
+    key = np.concatenate((old.h, new.h))
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    size = np.diff(np.concatenate((begin, [len(key)])))
+    pairs = begin[(size == 2) & (order[begin] < n) & (order[np.minimum(begin + 1, len(key) - 1)] >= n)]
+    i, j = order[pairs], order[pairs + 1] - n
+    same = pc.equal(old.take("dt_path", i), new.take("dt_path", j)).to_numpy(zero_copy_only=False)
+    i, j = i[same], j[same]
+    # Different paths of one hash within a listing: those of a hash are compared with each other.
+    for g in np.flatnonzero(size > 2).tolist():
+        at = order[begin[g] : begin[g] + size[g]]
+        ours = dict(zip(old.take("dt_path", at[at < n]).to_pylist(), at[at < n].tolist()))
+        theirs = dict(zip(new.take("dt_path", at[at >= n] - n).to_pylist(), (at[at >= n] - n).tolist()))
+        both = [p for p in ours if p in theirs]
+        i, j = np.append(i, np.array([ours[p] for p in both], np.int64)), np.append(j, np.array([theirs[p] for p in both], np.int64))
+    return i, j
+
+
+def _changes(old: _Listing | None, new: _Listing | None, later: dict):
+    """Typed changes from one listing to the next, of which one may have no lines here; ``later``: the numbers of the second."""
+    import numpy as np
+    import pyarrow.compute as pc
 
+    none = np.empty(0, np.int64)
+    i, j = _side_by_side(old, new) if old is not None and new is not None else (none, none)
+    differs = np.zeros(len(i), bool)
+    for c in ("dt_date", "dt_size") if len(i) else ():
+        differs |= pc.fill_null(pc.not_equal(old.take(c, i), new.take(c, j)), False).to_numpy(zero_copy_only=False)
+    gone = np.setdiff1d(np.arange(len(old.h)), i) if old is not None else none
+    come = np.setdiff1d(np.arange(len(new.h)), j) if new is not None else none
+    for mark, a, b in (("-", gone, None), ("+", None, come), ("#", i[differs], j[differs])):
+        if len(a if a is not None else b):
+            yield _made("change", later, mark, (old, a), (new, b))
 
-def listing_rows(snapshots: DataFrame, deliveries: DataFrame) -> DataFrame:
-    """One row per path of each valid listing: the line with the largest row_no.
 
-    Lines of equal row_no are put in the order of a hash of their values, so
-    that the same line wins everywhere; a null row_no comes first. Lines with
-    a null path don't count. -1 becomes null. The lines are combined before
-    they are shuffled, so a path listed very often is no heavy key.
+def _made(kind: str, row: dict, mark: str | None, old, new):
+    """A batch of the merge's output from the lines at some places of an old and a new listing."""
+    import pyarrow as pa
+
+    (here, at) = new if new[1] is not None else old
+    size = len(at)
+    value = lambda side, c: pa.nulls(size, pa.int64()) if side[1] is None else side[0].take(c, side[1])
+    fixed = [pa.array([row[c]] * size, t) for c, t in (("root_id", pa.int32()), ("range", pa.int32()), ("snap_no", pa.int32()), ("delivery_id", pa.int64()), ("prev_id", pa.int64()))]
+    cols = [*fixed, here.take("h", at), here.take("dt_path", at), pa.array([mark] * size, pa.string()), value(old, "dt_date"), value(new, "dt_date"), value(old, "dt_size"), value(new, "dt_size"), pa.array([kind] * size, pa.string())]
+    return pa.RecordBatch.from_arrays(cols, [*(x.split()[0] for x in _MADE.split(", ")), "kind"])
+
+
+def _merged(batches):
+    """The merge of one partition of sorted lines: changes, and the new listings as they are to be kept. One listing of a range is held at a time, and the one before it."""
+    import numpy as np
+
+    last, open_ = None, None
+
+    def end(listing, before):
+        """Closes a listing and compares it with the one before it, or that one with nothing."""
+        listing.close()
+        row = listing.row
+        if before is not None and (before.row["root_id"], before.row["range"]) != (row["root_id"], row["range"]):
+            yield from lost(before)
+            before = None
+        if before is not None and before.row["delivery_id"] != row["prev_id"]:
+            yield from lost(before)
+            before = None
+        if row["prev_id"] is not None:
+            yield from _changes(before, listing, row)
+        if row["fresh"]:
+            yield _made("kept", row, None, (None, None), (listing, np.arange(len(listing.h))))
+
+    def lost(listing):
+        """All lines of a listing whose successor has none here."""
+        row = listing.row
+        if row["next_id"] is not None:
+            yield from _changes(listing, None, {**row, "delivery_id": row["next_id"], "snap_no": row["next_snap"], "prev_id": row["delivery_id"]})
+
+    for batch in batches:
+        ids = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("root_id", "range", "delivery_id")]
+        if not batch.num_rows:
+            continue
+        edges = np.flatnonzero(np.concatenate(([True], np.logical_or.reduce([x[1:] != x[:-1] for x in ids]), [True])))
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            row = {c: batch.column(c)[lo].as_py() for c in _LINE[:8]}
+            if open_ is None or any(open_.row[c] != row[c] for c in ("root_id", "range", "delivery_id")):
+                if open_ is not None:
+                    yield from end(open_, last)
+                last, open_ = open_, _Listing(row)
+            open_.parts.append(batch.slice(lo, hi - lo).select(["h", "dt_path", "dt_date", "dt_size"]))
+    if open_ is not None:
+        yield from end(open_, last)
+        yield from lost(open_)
+
+
+class SnapshotStore:
+    """Snapshots kept in ranges of the hashed path, sorted within, in a folder that all executors share.
+
+    An intake exchanges the lines of new listings once, by root and range, together
+    with the kept ranges of the listings next to them, merges each with the one
+    before it, and keeps it. A delivery that comes late, between two kept ones, or
+    that takes the place of another is merged with its neighbours in the same way;
+    changes between listings that are no longer neighbours don't count any more. An
+    intake is committed by one file, after its tables. One writer at a time.
     """
-    lines = snapshots.filter(F.col("dt_path").isNotNull()).select("delivery_id", "dt_path", "row_no", "dt_date", "dt_size")
-    rank = F.coalesce(F.col("row_no").cast("bigint"), F.lit(-1)) * (1 << 31) + F.xxhash64("dt_date", "dt_size").bitwiseAND(0x7FFFFFFF)
-    date, size = (F.when(F.col(c) != -1, F.col(c)) for c in ("dt_date", "dt_size"))
-    kept = lines.join(valid_deliveries(deliveries), "delivery_id").withColumn("_rank", rank)
-    return kept.groupBy("root_id", "snap_no", "prev_snap", "next_snap", "dt_path").agg(F.max_by(date, "_rank").alias("dt_date"), F.max_by(size, "_rank").alias("dt_size"))
-
-
-def snapshot_changes(snapshots: DataFrame, deliveries: DataFrame) -> DataFrame:
-    """Typed changes of each listing against the one before it in its root.
-
-    The rows are kept in ranges of (root_id, dt_path), sorted by path and
-    number, and one pass over each range compares every line with its
-    neighbours: a line whose predecessor isn't of the preceding listing was
-    added (``+``), one whose successor isn't of the following listing was
-    removed there (``-``), else the values are compared (``#`` where date or
-    size is recorded on both sides and different). Only the ranges are
-    exchanged, so a root with most of the rows is split like any other.
-
-    Columns: root_id, snap_no, dt_path, mark, old_date, new_date, old_size,
-    new_size. The first listing of a root has no rows.
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _head(self) -> dict:
+        return json.loads(read_text(self.spark, f"{self.path}/intakes.json") or '{"intakes": 0}')
+
+    def _chain(self, numbers) -> DataFrame:
+        return self.spark.read.schema(_CHAIN).parquet(*(f"{self.path}/chain/{k:06d}" for k in numbers))
+
+    def _made(self, kind: str, numbers) -> DataFrame:
+        return self.spark.read.schema(f"{_MADE}, kind string").option("basePath", f"{self.path}/merged").parquet(*(f"{self.path}/merged/intake={k}" for k in numbers)).filter(F.col("kind") == kind)
+
+    def accept(self, snapshots: DataFrame, deliveries: DataFrame) -> None:
+        """Takes in the listings of valid deliveries that aren't kept yet. ``deliveries``: the whole log; ``snapshots``: at least the lines of the new ones.
+
+        Of several lines for a path the one with the largest row_no counts; lines of
+        equal row_no are put in the order of a hash of their values, a null row_no
+        comes first. Lines with a null path don't count. -1 becomes null.
+        """
+        head = self._head()
+        number = head["intakes"]
+        if "bits" not in head:
+            largest = snapshots.groupBy("delivery_id").count().agg(F.max("count")).first()[0] or 1
+            head["bits"] = min(max(math.ceil(math.log2(largest / RANGE_LINES)), 0), RANGE_BITS)
+        valid = valid_deliveries(deliveries)
+        if number:
+            before = self._chain(range(number))
+            known = before.filter("fresh").select("delivery_id").distinct().withColumn("fresh", F.lit(False))
+            valid = valid.join(known, "delivery_id", "left").withColumn("fresh", F.coalesce("fresh", F.lit(True)))
+        else:
+            valid = valid.withColumn("fresh", F.lit(True))
+        valid.select(*(x.split()[0] for x in _CHAIN.split(", "))).write.mode("overwrite").parquet(f"{self.path}/chain/{number:06d}")
+        chain = self._chain([number])
+        pairs = chain.filter("prev_id is not null").select("delivery_id", "prev_id", "snap_no")
+        if number:
+            pairs = pairs.join(before.select("delivery_id", "prev_id").distinct(), ["delivery_id", "prev_id"], "left_anti")
+        # What is to be merged now, one row a listing: with its predecessor, and its successor with it.
+        todo = chain.drop("prev_id").join(pairs.select("delivery_id", "prev_id"), "delivery_id", "left")
+        todo = todo.join(pairs.select(F.col("prev_id").alias("delivery_id"), F.col("delivery_id").alias("next_id"), F.col("snap_no").alias("next_snap")), "delivery_id", "left").filter("fresh or prev_id is not null or next_id is not null")
+
+        rank = F.coalesce(F.col("row_no").cast("bigint"), F.lit(-1)) * (1 << 31) + F.xxhash64("dt_date", "dt_size").bitwiseAND(0x7FFFFFFF)
+        date, size = (F.when(F.col(c) != -1, F.col(c)).cast("bigint").alias(c) for c in ("dt_date", "dt_size"))
+        lines = snapshots.filter(F.col("dt_path").isNotNull()).select("delivery_id", "dt_path", rank.alias("rank"), date, size)
+        lines = _combined(lines.join(todo.filter("fresh"), "delivery_id")).withColumn("h", F.xxhash64("dt_path"))
+        lines = lines.withColumn("range", F.shiftrightunsigned("h", 64 - head["bits"]).cast("int") if head["bits"] else F.lit(0)).select(*_LINE)
+        if number:
+            kept = self._made("kept", range(number)).select("delivery_id", "range", "h", "dt_path", F.lit(0).cast("bigint").alias("rank"), F.col("new_date").alias("dt_date"), F.col("new_size").alias("dt_size"))
+            lines = lines.unionByName(kept.join(todo.filter("not fresh"), "delivery_id").select(*_LINE))
+        ordered = lines.repartition("root_id", "range").sortWithinPartitions("root_id", "range", "snap_no", "delivery_id", "h", "dt_path", F.desc("rank"))
+        merged = ordered.drop("rank").mapInArrow(_merged, f"{_MADE}, kind string")
+        merged.write.mode("overwrite").partitionBy("kind").parquet(f"{self.path}/merged/intake={number}")
+        write_text(self.spark, f"{self.path}/intakes.json", json.dumps({**head, "intakes": number + 1}))
+
+    def changes(self) -> DataFrame:
+        """(root_id, snap_no, dt_path, mark, old_date, new_date, old_size, new_size) between all neighbouring listings as they are now."""
+        n = self._head()["intakes"]
+        rows = self._made("change", range(n))
+        if n > 1:
+            rows = rows.join(self._chain([n - 1]).select("delivery_id", "prev_id"), ["delivery_id", "prev_id"], "left_semi")
+        return rows.select("root_id", "snap_no", "dt_path", "mark", "old_date", "new_date", "old_size", "new_size")
+
+
+def snapshot_changes(snapshots: DataFrame, deliveries: DataFrame, path: str | None = None) -> DataFrame:
+    """Typed changes of each listing against the one before it in its root, from a store that takes what isn't kept yet.
+
+    A path only in the later one was added (``+``), one only in the earlier one
+    removed (``-``), one in both whose date or size is recorded on both sides and
+    different changed (``#``). The first listing of a root has no rows. A root with
+    most of the lines is split by its ranges.
     """
-    rows = listing_rows(snapshots, deliveries).repartitionByRange("root_id", "dt_path")
-    w = Window.partitionBy("root_id", "dt_path").orderBy("snap_no")
-    here = {c: F.col(c) for c in ("dt_date", "dt_size")}
-    rows = rows.select("*", F.lag("snap_no").over(w).alias("_before"), F.lead("snap_no").over(w).alias("_after"), *(F.lag(c).over(w).alias(f"_{c}") for c in here))
-    had = F.coalesce(F.col("_before") == F.col("prev_snap"), F.lit(False))
-    has = F.coalesce(F.col("_after") == F.col("next_snap"), F.lit(False))
-    differs = F.coalesce(F.col("_dt_date") != F.col("dt_date"), F.lit(False)) | F.coalesce(F.col("_dt_size") != F.col("dt_size"), F.lit(False))
-    none = F.lit(None).cast("bigint")
-
-    def event(snap, mark, old, new):
-        return F.struct(F.col(snap).alias("snap_no"), F.lit(mark).alias("mark"), *(x.alias(n) for n, x in zip(("old_date", "new_date", "old_size", "new_size"), (old[0], new[0], old[1], new[1]))))
-
-    now, was, nothing = (here["dt_date"], here["dt_size"]), (F.col("_dt_date"), F.col("_dt_size")), (none, none)
-    events = F.array(
-        F.when(F.col("prev_snap").isNotNull() & ~had, event("snap_no", "+", nothing, now)),
-        F.when(F.col("prev_snap").isNotNull() & had & differs, event("snap_no", "#", was, now)),
-        F.when(F.col("next_snap").isNotNull() & ~has, event("next_snap", "-", now, nothing)),
-    )
-    return rows.select("root_id", "dt_path", F.explode(F.filter(events, lambda x: x.isNotNull())).alias("e")).select("root_id", "e.snap_no", "dt_path", "e.mark", "e.old_date", "e.new_date", "e.old_size", "e.new_size")
+    spark = snapshots.sparkSession
+    store = SnapshotStore(spark, path or scratch_path(spark, "snapshots"))
+    store.accept(snapshots, deliveries)
+    return store.changes()

@@ -89,6 +89,26 @@ def test_cells(spark):
     assert [r[0] for r in frame.select(crypto.decrypt(F.col("e"), bytes(32))).collect()] == [None, None]
 
 
+def test_no_plan_shows_the_key(spark):
+    import base64
+    import contextlib
+    import io
+
+    key = bytes(range(65, 97))
+    frame = spark.range(5).select(F.col("id").cast("string").cast("binary").alias("c")).withColumn("e", crypto.encrypt(F.col("c"), key))
+    frame = frame.withColumn("d", crypto.decrypt(F.col("e"), key))
+    assert frame.filter("d = c").count() == 5
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        for mode in ("simple", "extended", "codegen", "cost", "formatted"):
+            frame.explain(mode=mode)
+    frame.collect()
+    text = text.getvalue() + frame._jdf.queryExecution().toString()
+    assert "aes_encrypt" in text.lower() or "AesEncrypt" in text
+    for spelling in (key.hex(), key.decode(), base64.b64encode(key).decode(), str(list(key))[1:-1]):
+        assert spelling.lower() not in text.lower()
+
+
 def run(source, data=b"", **kw):
     m = Machine(source, **kw)
     return m, m.process(data)

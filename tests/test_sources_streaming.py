@@ -30,7 +30,8 @@ def test_tree_to_vault_and_back(spark, tree, tmp_path_factory):
     vault.add(files.with_content(listing))
     out = tmp_path_factory.mktemp("out")
     assert files.write_files(vault.extract(), str(out), dry_run=True).filter("problem is not null").count() == 0 and not list(out.iterdir())
-    problems = files.write_files(vault.extract().filter(~F.col("dt_path").endswith("/")), str(out))
+    os.chmod(tree / "a", 0o750)
+    problems = files.write_files(vault.extract(), str(out))
     assert problems.filter("problem is not null").count() == 0
     for p in ("a/x.txt", "a/zero", "b/y.bin"):
         assert (out / str(tree).lstrip("/") / p).read_bytes() == (tree / p).read_bytes()
@@ -39,6 +40,30 @@ def test_tree_to_vault_and_back(spark, tree, tmp_path_factory):
     assert files.write_files(bad, str(out)).first()["problem"]
 
 
+def test_whole_trees_are_written_back(spark, tmp_path_factory):
+    """Folders, empty ones too, come back with their dates and modes, which what is written into them doesn't change; one that nobody may write to is filled first."""
+    src, out = tmp_path_factory.mktemp("src"), tmp_path_factory.mktemp("out")
+    for d in ("d/e/f", "d/empty", "locked/in"):
+        (src / d).mkdir(parents=True)
+    for k, p in enumerate(("d/x", "d/e/y", "d/e/f/z", "locked/in/w", "top")):
+        (src / p).write_bytes(bytes([k]) * (k * 1000))
+    marks = {"d/": 0o750, "d/e/": 0o711, "d/e/f/": 0o700, "d/empty/": 0o755, "locked/in/": 0o555, "locked/": 0o555, "top": 0o600}
+    for k, (p, mode) in enumerate(marks.items()):
+        os.utime(src / p, (10**9 + k, 10**9 + k))
+        os.chmod(src / p, mode)
+    vault = Vault(spark, scratch_path(spark, "vault"), fragment=0)
+    vault.add(files.with_content(files.scan_local(spark, [str(src)])))
+    problems = files.write_files(vault.extract(), str(out))
+    assert problems.count() == 12 and problems.filter("problem is not null").count() == 0
+    made = out / str(src).lstrip("/")
+    names = lambda top: sorted(str(p.relative_to(top)) + "/" * p.is_dir() for p in top.rglob("*"))
+    assert names(made) == names(src)
+    for p in names(src):
+        a, b = (src / p).stat(), (made / p).stat()
+        assert (a.st_mode, int(a.st_mtime)) == (b.st_mode, int(b.st_mtime)), p
+        assert p.endswith("/") or (src / p).read_bytes() == (made / p).read_bytes()
+
+
 def test_read_tree(spark, tree):
     got = {r["dt_path"].rsplit("/", 1)[1]: bytes(r["content"]) for r in files.read_tree(spark, f"file://{tree}/a").collect()}
     assert got == {"x.txt": b"hello"}

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from vaultframe.functions.dates import decimal_date
 from vaultframe.functions.paths import pattern_regex
+from vaultframe.session import scratch_path
 
 LISTING = "dt_path string, dt_date bigint, dt_size bigint, dt_attr bigint"
 
@@ -87,43 +88,83 @@ def with_content(listing: DataFrame) -> DataFrame:
 def write_files(files: DataFrame, root: str, dry_run: bool = False) -> DataFrame:
     """Writes (dt_path, dt_date, dt_attr, content) below a folder that all executors mount; gives (dt_path, problem), null where it went well.
 
-    Folders are made as needed, blocks of zeros become holes, dates and modes are
-    set. Rows without content are passed over, as are paths that lead out of the
-    folder. ``dry_run`` checks and writes nothing.
+    Paths that end in ``/`` are folders; others are made as needed. Blocks of zeros
+    become holes, dates and modes are set. Files are all written when this
+    returns; dates and modes of folders are set after that, the deepest first,
+    so that a file doesn't touch them again and a folder that can't be written
+    to can still be filled. Rows without content are passed over, as are paths that
+    lead out of the folder. ``dry_run`` checks and writes nothing.
     """
-
-    def one(path, date, attr, data):
-        target = os.path.normpath(os.path.join(root, path.lstrip("/")))
-        if not path or os.path.commonpath([os.path.abspath(root), os.path.abspath(target)]) != os.path.abspath(root):
+    top = os.path.abspath(root)
+
+    def place(path):
+        target = os.path.abspath(os.path.join(root, (path or "").lstrip("/")))
+        return target if path and os.path.commonpath([top, target]) == top else None
+
+    def mark(target, date, attr):
+        if date and date > 0:
+            at = datetime.strptime(f"{date:014d}", "%Y%m%d%H%M%S").replace(tzinfo=UTC).timestamp()
+            os.utime(target, (at, at))
+        if attr and attr & 255 == ord("u"):
+            os.chmod(target, attr >> 8 & 0o7777)
+
+    def write(path, date, attr, data):
+        target = place(path)
+        if target is None:
             return "the path leads out of the folder"
-        if data is None or dry_run:
-            return None if dry_run or data is not None else "no content"
-        try:
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            with open(target, "wb") as f:
-                for k in range(0, len(data), 1 << 16):
-                    piece = data[k : k + (1 << 16)]
-                    if any(piece):
-                        f.seek(k)
-                        f.write(piece)
-                f.truncate(len(data))
-            if date and date > 0:
-                at = datetime.strptime(f"{date:014d}", "%Y%m%d%H%M%S").replace(tzinfo=UTC).timestamp()
-                os.utime(target, (at, at))
-            if attr and attr & 255 == ord("u"):
-                os.chmod(target, attr >> 8 & 0o7777)
-        except (OSError, ValueError) as e:
-            return str(e)
-        return None
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("dt_path", "dt_date", "dt_attr", "content")]
-            yield pa.RecordBatch.from_arrays([batch.column("dt_path"), pa.array([one(*x) for x in zip(*cols)], pa.string())], ["dt_path", "problem"])
-
-    return files.select("dt_path", "dt_date", "dt_attr", "content").filter("dt_path is not null").mapInArrow(run, "dt_path string, problem string")
+        if dry_run:
+            return None
+        if path.endswith("/"):
+            os.makedirs(target, exist_ok=True)
+            return None
+        if data is None:
+            return "no content"
+        os.makedirs(os.path.dirname(target), exist_ok=True)
+        with open(target, "wb") as f:
+            for k in range(0, len(data), 1 << 16):
+                piece = data[k : k + (1 << 16)]
+                if any(piece):
+                    f.seek(k)
+                    f.write(piece)
+            f.truncate(len(data))
+        mark(target, date, attr)
+
+    def finish(path, date, attr):
+        if not dry_run and (target := place(path)) is not None:
+            mark(target, date, attr)
+
+    def each(columns, work):
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                problems = []
+                for row in zip(*(batch.column(c).to_pylist() for c in columns)):
+                    try:
+                        problems.append(work(*row))
+                    except (OSError, ValueError) as e:
+                        problems.append(str(e))
+                yield pa.RecordBatch.from_arrays([batch.column("dt_path"), pa.array(problems, pa.string())], ["dt_path", "problem"])
+
+        return run
+
+    spark, kind = files.sparkSession, "dt_path string, problem string"
+    done = scratch_path(spark, "written")
+    named = files.filter("dt_path is not null")
+    named.select("dt_path", "dt_date", "dt_attr", "content").mapInArrow(each(("dt_path", "dt_date", "dt_attr", "content"), write), kind).write.parquet(done)
+    written = spark.read.schema(kind).parquet(done)
+    parts = F.size(F.split(F.regexp_replace("dt_path", "/+$", ""), "/+"))
+    folders = named.filter(F.col("dt_path").endswith("/")).select("dt_path", "dt_date", "dt_attr", parts.alias("deep"))
+    late = scratch_path(spark, "finished")
+    # One job a depth; a path has some dozens of parts at most.
+    depths = sorted((r["deep"] for r in folders.select("deep").distinct().collect()), reverse=True)
+    for deep in depths:
+        rows = folders.filter(F.col("deep") == deep).drop("deep").mapInArrow(each(("dt_path", "dt_date", "dt_attr"), finish), kind)
+        rows.filter("problem is not null").write.mode("append").parquet(late)
+    if not depths:
+        return written
+    late = spark.read.schema(kind).parquet(late).groupBy("dt_path").agg(F.first("problem").alias("late"))
+    return written.join(late, "dt_path", "left").select("dt_path", F.coalesce("problem", "late").alias("problem"))
 
 
 def part_name(pattern: str, part: int) -> str:

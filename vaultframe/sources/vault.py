@@ -1,9 +1,10 @@
 """A versioned, deduplicating store of files in Parquet tables, with time travel.
 
 Below one folder: ``fragments``, ``blocks`` and ``entries``, each with a directory
-for every version, and ``commits.json``, the list of committed versions. It is
-replaced in one step and last, so a version that failed before that is invisible,
-and its directories are overwritten by the next one. One writer at a time.
+for every version, and ``commits.json``, the list of committed versions, as the latest of some
+numbered files (see :func:`vaultframe.session.write_text`). It is written last, so a
+version that failed before that is invisible, and its directories are overwritten by
+the next one. One writer at a time.
 
 Columns: files (dt_path, dt_date, dt_size, dt_attr, content); entries (dt_path,
 dt_date, dt_size, dt_attr, dt_ptr; dt_date 0 is a delete); fragments (frag_id, ht_sha1,
@@ -16,7 +17,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from dataclasses import dataclass
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -160,15 +161,13 @@ class Vault:
         return select.of(self.entries(until)).withColumn("dt_path", F.concat(prefix, F.lit("/"), "dt_path"))
 
     def list(self, files: DataFrame | None = None, until: int | None = None, select: Selection = Selection(), force: bool = False, hide: str = "") -> DataFrame:
-        """The snapshot, or its comparison with ``files``: by date, size and attr, or with ``force`` by content."""
+        """The snapshot, or its comparison with ``files``: by date, size and attr, or with ``force`` by content, for which the stored hashes are enough."""
         inside = self.snapshot(until, select)
         if files is None:
             return inside.select(F.lit("-").alias("mark"), *KEYS, *compare.VALUES)
         outside = self._renamed(select.of(files, False), select)
         if force:
-            ours = self._content_keys(inside, until)
-            theirs = outside.withColumn("_c", F.coalesce(F.sha1("content"), F.sha1(F.lit(""))))
-            same = inside.join(ours, "dt_path").join(theirs.select("dt_path", "_c"), "dt_path").filter("_k = _c").select("dt_path")
+            same = self._same_content(inside, outside, until)
             known = outside.join(same, "dt_path", "left_semi").select("dt_path")
             values = inside.join(known, "dt_path", "left_semi").select("dt_path", *compare.VALUES)
             outside = outside.join(known, "dt_path", "left_anti").select("dt_path", *compare.VALUES).unionByName(values)
@@ -193,8 +192,8 @@ class Vault:
         number = (log[-1]["version_no"] if log else 0) + 1
         now = date or int(datetime.now(UTC).strftime("%Y%m%d%H%M%S"))
         if log and now <= log[-1]["date"]:
-            last = datetime.strptime(str(log[-1]["date"]), "%Y%m%d%H%M%S").timestamp() + 1
-            now = int(datetime.fromtimestamp(last).strftime("%Y%m%d%H%M%S"))
+            last = datetime.strptime(str(log[-1]["date"]), "%Y%m%d%H%M%S").replace(tzinfo=UTC) + timedelta(seconds=1)
+            now = int(last.strftime("%Y%m%d%H%M%S"))
         one = Window.partitionBy("dt_path").orderBy(F.desc_nulls_last("dt_date"), F.desc_nulls_last("dt_size"))
         outside = self._renamed(select.of(files.filter("dt_path is not null")), select).withColumn("_n", F.row_number().over(one)).filter("_n = 1").drop("_n")
         if not attributes:
@@ -308,8 +307,22 @@ class Vault:
         content = F.when(action.isin(">", "#"), F.when(total == 0, F.unhex(F.lit(""))).when(F.col("good") == total, F.col("whole")))
         return rows.select(F.col("target").alias("dt_path"), *compare.VALUES, content.alias("content"), F.when(total == 0, 0).otherwise(F.col("good")).alias("frags_ok"), total.alias("frags_total"), action.alias("action"))
 
-    def _content_keys(self, files: DataFrame, until: int | None) -> DataFrame:
-        return files.select("dt_path").join(joined(self._pieces(files, until)), "dt_path", "left").select("dt_path", F.coalesce(F.sha1("whole"), F.sha1(F.lit(""))).alias("_k"))
+    def _same_content(self, inside: DataFrame, outside: DataFrame, until: int | None) -> DataFrame:
+        """(dt_path) of the outside files whose content is the stored one: cut like the stored fragments, its pieces have their SHA-1s. No block is read.
+
+        A file with a fragment that is missing, or whose size or SHA-1 isn't known, can't be compared and isn't the same.
+        """
+        uses = inside.join(outside.select("dt_path"), "dt_path", "left_semi").select("dt_path", F.posexplode_outer("dt_ptr").alias("pos", "frag_id"))
+        known = self.fragments(until).filter((F.col("ht_usize") >= 0) & F.col("ht_sha1").isNotNull() & (F.col("ht_sha1") != F.lit(b"\0" * 20)))
+        rows = uses.join(known.select("frag_id", "ht_sha1", "ht_usize"), "frag_id", "left")
+        upto = Window.partitionBy("dt_path").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+        parts = rows.withColumn("off", F.coalesce(F.sum("ht_usize").over(upto), F.lit(0)))
+        whole = parts.groupBy("dt_path").agg(F.coalesce(F.sum("ht_usize"), F.lit(0)).alias("size"), F.count(F.when(F.col("frag_id").isNotNull() & F.col("ht_sha1").isNull(), 1)).alias("unknown"))
+        content = outside.select("dt_path", F.coalesce("content", F.lit(b"")).alias("content"))
+        fits = whole.join(content.select("dt_path", F.octet_length("content").alias("n")), "dt_path").filter("unknown = 0 and size = n").select("dt_path")
+        cut = slices(content, parts.filter("frag_id is not null").join(fits, "dt_path", "left_semi").select("dt_path", "off", "ht_usize", "ht_sha1"), "dt_path", "content", "off", "ht_usize", "p")
+        wrong = cut.filter(~F.coalesce(F.unhex(F.sha1("p")) == F.col("ht_sha1"), F.lit(False))).select("dt_path").distinct()
+        return fits.join(wrong, "dt_path", "left_anti")
 
     def verify(self, until: int | None = None) -> DataFrame:
         """(block_id, frags, frags_ok, problem): every block unpacked and every fragment checked."""

@@ -112,12 +112,41 @@ def test_numbers_blocks_and_runs(spark):
     assert sorted(tuple(r) for r in runs.collect()) == [(1, 1, 3, 3), (1, 7, 7, 1)]
 
 
-def test_fold_into_blocks():
-    table, other = bytes([9] * 256), bytes([8] * 256)
-    piece = lambda size, first, table, hits=0: {"size": size, "hits": hits, "first": first, "file_size": size, "table": table, "least": 64}
-    assert packing.fold_into_blocks([piece(30_000, True, table), piece(30_000, True, table)], 100_000) == [0, 0]  # shares contexts
-    assert packing.fold_into_blocks([piece(30_000, True, table), piece(30_000, True, other)], 100_000) == [0, 1]
-    assert packing.fold_into_blocks([piece(60_000, True, table), piece(50_000, False, table)], 100_000) == [0, 1]
+def plain_fragments(data, f):
+    """A byte at a time: the hash and the table of what last followed each byte begin anew with every fragment."""
+    cuts, start, h, last, follows = [], 0, 0, 0, [0] * 256
+    for i, c in enumerate(data):
+        h = (h + c + 1) * (314159265 if follows[last] == c else 271828182) % 2**32
+        follows[last], last = c, c
+        if i + 1 - start == 8128 << f or (i + 1 - start >= 64 << f and h < 2 ** (22 - f)):
+            cuts.append((start, i + 1))
+            start, h, last, follows = i + 1, 0, 0, [0] * 256
+    return [*cuts, (start, len(data))]
+
+
+@pytest.mark.parametrize("f,strip", [(0, 1 << 14), (0, 100), (2, 333)])
+def test_same_pieces_as_a_plain_chunker(f, strip, monkeypatch):
+    import random
+
+    monkeypatch.setattr(chunk, "STRIP", strip)
+    rnd = random.Random(f + strip)
+    text = lambda n: " ".join(rnd.choice(["house", "order", "the", "will", "ayes", "1.", "it"]) for _ in range(n)).encode()
+    contents = [b"", b"x", b"a" * 30_000, bytes(20_000), rnd.randbytes(40_000), text(8000)]
+    contents += [rnd.choice([rnd.randbytes, text, bytes])(rnd.randrange(1, 3000)) for _ in range(60)]
+    rnd.shuffle(contents)
+    got = [[(x.begin, x.end) for x in pieces] for pieces in chunk.fragments_of(contents, f)]
+    assert got == [plain_fragments(c, f) for c in contents]
+
+
+def test_one_long_content_takes_no_room_for_all():
+    import tracemalloc
+
+    contents = [b"short" * 20] * 511 + [bytes(3_000_000)]
+    tracemalloc.start()
+    chunk.fragments_of(contents, 6)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40_000_000
 
 
 def test_chunks_are_local(spark):
@@ -143,8 +172,11 @@ def test_kinds_of_data():
     t, r, code = table(text), table(rnd.randbytes(9000)), table(b"".join(bytes([rnd.randrange(256), 139]) for _ in range(3000)))
     assert chunk.is_text(t.table) and not chunk.is_text(r.table)
     assert chunk.is_code(code.table) and not chunk.is_code(t.table)
-    assert chunk.redundancy(len(text), t.hits, t.table) > len(text) // 4 > chunk.redundancy(9000, r.hits, r.table)
-    assert chunk.redundancy(0, 0, bytes(256)) == 0
+    import numpy as np
+
+    tables = np.frombuffer(t.table + r.table + bytes(256), np.uint8).reshape(3, 256)
+    of_text, of_noise, of_nothing = chunk.redundancies([len(text), 9000, 0], [t.hits, r.hits, 0], tables).tolist()
+    assert of_text > len(text) // 4 > of_noise and of_nothing == 0
 
 
 def brute_blocks(docs):

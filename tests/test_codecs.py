@@ -52,6 +52,26 @@ def test_periods():
     assert periods_of(rnd.randbytes(5000)) == [] and periods_of(b"") == []
 
 
+def test_contexts_of_a_method_are_its_own():
+    """Methods that differ in masks, offsets or words build different models, and each is the better one for what it describes."""
+    from vaultframe.functions.codecs import build_model
+
+    contexts = lambda m: [c for _, c in build_model(parse_method(m))]
+    specs = ["x0,0c0,0,255,0,255", "x0,0c0,0,255,255", "x0,0c0,0,15,15", "x0,0c0,7", "x0,0c0,1010,255", "x0,0c0,0,511,255", "x0,0w2", "x0,0w2,48,10", "x0,0ci1,2"]
+    assert len({str(contexts(m)) for m in specs}) == len(specs)
+    assert contexts("x0,0c0,0,255,1003,255") == contexts("x0,0c0,0,255,0,0,0,255")
+    noise = random.Random(5)
+    period = b"".join(bytes([noise.randrange(256), 7, 9, 200, noise.randrange(256), 3, 4]) for _ in range(90))
+    size = lambda data, m: len(pack_bytes(data, m))
+    assert size(period, "x0,0c0,7") < size(period, "x0,0c0,5")
+    skip = bytearray(noise.choices(b"abcdefgh", k=600))
+    for k in range(2, 600):
+        skip[k] = (skip[k - 2] * 5 + 3) % 256 if k % 2 == 0 else skip[k]
+    assert size(bytes(skip), "x0,0c0,0,0,255") < size(bytes(skip), "x0,0c0,0,255")
+    for m in [*specs, "x0,0c0,0,255m0,40", "x0,0ci1t9s16,8,20", "x0,0c4,0,255c1000c2m12t0,60"]:
+        assert unpack_bytes(pack_bytes(TEXT[:200], m)) == TEXT[:200]
+
+
 def test_columns_survive_damage(spark):
     frame = spark.createDataFrame([(k, bytearray(c), "x0,1" if k % 2 else "zstd", "e") for k, c in enumerate(CONTENTS)] + [(99, None, None, "e")], "id int, data binary, method string, note string")
     packed = pack_column(frame, "data", method_col="method").collect()

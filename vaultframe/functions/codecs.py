@@ -57,33 +57,44 @@ def parse_method(method: str) -> CodecSpec:
 
 
 def build_model(spec: CodecSpec):
-    """Components of a method, each with its context."""
+    """Components of a method, each with its context; numbers that only set the size of a table don't count.
+
+    ``c``: count (0 indirect, to 255 direct, 256 and more a constant; thousands are
+    sizes), offset (to 255 the place in periods of so many bytes, from 1000 the
+    distance to the last byte offset - 1000), masks of the bytes before, the last
+    first: from 256 with the state of the LZ77 code, more than 1000 for so many
+    bytes that don't count. ``i``: orders that are added to the context before it.
+    ``w``: number of words, first letter, letters, mask of a letter's bits. ``m`` and
+    ``t``: bits of the context and rate; ``s``: bits, first count, most / 4.
+    """
     out: list = []
+    at = lambda n, k, default: n[k] if len(n) > k else default
     for c, n in spec.models:
         if c == "c":
-            order = 0
-            if len(n) > 1 and n[1] >= 1000:
-                order = ("gap", n[1] - 999)
-            elif len(n) > 1 and 0 < n[1] < 256:
-                order = ("gap", n[1])
-            else:
-                order = sum(1 for x in n[2:] if x)
-            out.append((mm.ICM() if not n or n[0] == 0 else mm.CM(max(4 * n[0], 4)) if n[0] < 256 else mm.Const(128), order))
+            masks: list[int] = []
+            for x in n[2:]:
+                masks += [0] * (x - 1000) if x > 1000 else [x]
+            count = at(n, 0, 0) % 1000
+            out.append((mm.Const(128) if count > 255 else mm.CM(4 * count) if count else mm.ICM(), ("masks", at(n, 1, 0), tuple(masks))))
         elif c == "i":
-            top = out[-1][1] if out and isinstance(out[-1][1], int) else 0
+            base, top = (out[-1][1] if out else 0), 0
+            if isinstance(base, tuple) and base[0] == "order":
+                base, top = base[2], base[1]
             for step in n or [1]:
                 top += step % 10
-                out.append((mm.ISSE(len(out) - 1), top) if out else (mm.ICM(), top))
+                out.append((mm.ISSE(len(out) - 1), ("order", top, base)) if out else (mm.ICM(), ("order", top, 0)))
         elif c == "a":
             out.append((mm.Match(), 0))
         elif c == "w":
-            out.append((mm.ICM(), "w"))
+            for k in range(1, max(at(n, 0, 1), 1) + 1):
+                context = ("words", k, at(n, 1, 65), at(n, 2, 26), at(n, 3, 223))
+                out.append((mm.ISSE(len(out) - 1) if k > 1 else mm.ICM(), context))
         elif c == "m":
-            out.append((mm.Mix(range(len(out))), 0)) if out else None
+            out.append((mm.Mix(range(len(out)), at(n, 1, 24) / 1200), ("bits", at(n, 0, 8)))) if out else None
         elif c == "t" and len(out) > 1:
-            out.append((mm.Mix2(len(out) - 2, len(out) - 1), 0))
+            out.append((mm.Mix2(len(out) - 2, len(out) - 1, at(n, 1, 24) / 1200), ("bits", at(n, 0, 8))))
         elif c == "s" and out:
-            out.append((mm.SSE(len(out) - 1), 0))
+            out.append((mm.SSE(len(out) - 1, at(n, 1, 32), 4 * at(n, 2, 255)), ("bits", at(n, 0, 8))))
     return out
 
 

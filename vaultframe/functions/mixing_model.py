@@ -210,32 +210,46 @@ class SSE(Component):
 class Predictor:
     """Runs a model over a sequence of bits, high bit of each byte first.
 
-    ``model``: a list of (component, order): its context is that many bytes before,
-    the word so far for "w", or a number for a fixed distance given as ("gap", n);
-    always together with the bits of the byte so far.
+    ``model``: a list of (component, context). A context is a number of bytes before;
+    ("masks", offset, masks), ("order", n, base) for n bytes together with another
+    context, ("words", k, first letter, letters, mask) for the last k words, or
+    ("bits", n) for the last n bits, those of the byte so far included. All but the
+    last stand together with the bits of the byte so far.
     """
 
     def __init__(self, model):
         self.parts = [c for c, _ in model]
         self.orders = [o for _, o in model]
-        self.past, self.word, self.c0 = bytearray(), 0, 1
+        self.past, self.c0, self.last = bytearray(), 1, [0] * 256
+        #: Words so far by their letters, the latest first; state of a byte-aligned LZ77 code: bytes left of literals or an offset.
+        self.words = {o[2:]: [0] for o in self.orders if isinstance(o, tuple) and o[0] == "words"}
+        self.left, self.state = 0, 0
         self._contexts()
 
+    def _context(self, o):
+        past = self.past
+        if not isinstance(o, tuple):
+            return bytes(past[-o:]) if o else b""
+        if o[0] == "order":
+            return bytes(past[-o[1] :]) if o[1] else b"", self._context(o[2])
+        if o[0] == "words":
+            return tuple(self.words[o[2:]][: o[1]])
+        if o[0] == "bits":
+            return (past[-1] >> (16 - min(o[1], 16)) if past else 0) if o[1] > 8 else 0
+        place = 0
+        if 0 < o[1] < 256:
+            place = len(past) % o[1]
+        elif o[1] >= 1000:
+            place = min(len(past) - self.last[(o[1] - 1000) & 255], 255)
+        return place, tuple((past[-1 - k] if k < len(past) else 0) & m & 255 for k, m in enumerate(o[2]) if m & 255), self.state if any(m > 255 for m in o[2]) else None
+
     def _contexts(self):
-        self.ctx = []
-        for o in self.orders:
-            if o == "w":
-                c = ("w", self.word)
-            elif isinstance(o, tuple):
-                c = bytes(self.past[-o[1] : len(self.past) - o[1] + 1]) if len(self.past) >= o[1] else b""
-            else:
-                c = bytes(self.past[-o:]) if o else b""
-            self.ctx.append(c)
+        self.ctx = [(self._context(o), isinstance(o, tuple) and o[0] == "bits" and o[1] == 0) for o in self.orders]
 
     def p(self) -> float:
         x, c0 = [], self.c0
-        for part, c in zip(self.parts, self.ctx):
-            x.append(part.predict((c, c0), x))
+        for part, (c, alone) in zip(self.parts, self.ctx):
+            x.append(part.predict((c, 0 if alone else c0), x))
         return squash(x[-1])
 
     def update(self, bit: int) -> None:
@@ -245,7 +259,19 @@ class Predictor:
         if self.c0 >= 256:
             c = self.c0 & 255
             self.past.append(c)
-            self.word = (self.word + c + 1) * 773 & 0xFFFFFFFF if 65 <= c & 0xDF <= 90 or c >= 128 else 0
+            self.last[c] = len(self.past)
+            for (first, letters, mask), words in self.words.items():
+                if first <= c & mask < first + letters or c >= 128:
+                    words[0] = (words[0] + c + 1) * 773 & 0xFFFFFFFF
+                elif words[0]:
+                    words.insert(0, 0)
+                    del words[8:]
+            if self.left:
+                self.left -= 1
+                self.state = self.state if self.left else 0
+            else:
+                self.state = 1 if c < 64 else 2
+                self.left = c + 1 if c < 64 else (c >> 6) + 1
             for part in self.parts:
                 if isinstance(part, Match):
                     part.byte(c)

@@ -4,7 +4,8 @@ A boundary follows from a rolling hash that restarts with each fragment and
 multiplies by one constant where the byte is the one that last followed the same
 byte, by another where it isn't. It falls where the hash is low once the fragment
 has its least size, or where it has its greatest. Contents are hashed side by
-side: step t handles byte t of every content of a slice at once, as numpy lanes.
+side: step t handles byte t of every content of a slice at once, as numpy lanes, in
+strips of bounded length; what is left of the last few goes on byte by byte.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 
 #: Fixed: multipliers of the rolling hash for a predicted and for another byte.
 HIT, MISS = 314_159_265, 271_828_182
-#: Contents hashed side by side, and the least number for which that pays.
-LANES, FEW = 512, 12
+#: Contents hashed side by side, the least number for which that pays, and the bytes of each that are laid out at a time, whatever their lengths.
+LANES, FEW, STRIP = 512, 12, 1 << 14
 
 
 @dataclass
@@ -44,19 +45,21 @@ def fragments_of(contents: list[bytes], f: int = 6) -> list[list[Fragment]]:
     for k in range(0, len(order), LANES):
         mine = order[k : k + LANES]
         lengths = np.array([len(contents[i]) for i in mine])
-        data = np.zeros((int(lengths.max(initial=0)), len(mine)), np.uint8)
-        for j, i in enumerate(mine):
-            data[: lengths[j], j] = np.frombuffer(contents[i], np.uint8)
-        n = len(mine)
+        n, longest = len(mine), int(lengths.max(initial=0))
         table = np.zeros((n, 256), np.uint8)
         h, last, hits, begin = np.zeros(n, np.uint32), np.zeros(n, np.intp), np.zeros(n, np.int64), np.zeros(n, np.int64)
-        first = 0
-        for t in range(len(data)):
+        first, t = 0, 0
+        while t < longest:
+            if t % STRIP == 0:
+                strip = np.zeros((min(STRIP, longest - t), n), np.uint8)
+                for j in range(int(np.searchsorted(lengths, t, "right")), n):
+                    piece = np.frombuffer(contents[mine[j]], np.uint8, min(STRIP, int(lengths[j]) - t), t)
+                    strip[: len(piece), j] = piece
             while lengths[first] <= t:
                 first += 1
             if n - first < FEW:
                 break
-            c = data[t, first:]
+            c = strip[t % STRIP, first:]
             lane = np.arange(first, n)
             hit = table[lane, last[first:]] == c
             h[first:] = (h[first:] + c + np.uint32(1)) * np.where(hit, np.uint32(HIT), np.uint32(MISS))
@@ -69,8 +72,9 @@ def fragments_of(contents: list[bytes], f: int = 6) -> list[list[Fragment]]:
                 table[j] = 0
                 h[j] = last[j] = hits[j] = 0
                 begin[j] = t + 1
+            t += 1
         else:
-            first, t = n, len(data)
+            first = n
         for j in range(n):
             if j < first or lengths[j] <= t:
                 out[mine[j]].append(Fragment(int(begin[j]), int(lengths[j]), int(hits[j]), table[j].tobytes()))
@@ -119,24 +123,18 @@ def is_code(table: bytes) -> bool:
     return table.count(139) >= 5
 
 
-def redundancy(size: int, hits: int, table: bytes, recent: list[bytes] = ()) -> int:
-    """Bytes that could be saved, at most ``size``: the most of bytes predicted, unevenness of what follows what, share of bytes nothing follows, and likeness to up to four recent tables."""
-    counts = [table.count(c) for c in range(256)]
-    left = size
-    for n in counts:
-        for k in range(min(n, 255)):
-            left -= size * (32768 // ((k + 1) * 204)) >> 15
-    uneven = left * left // size if size else 0
-    never = min(counts[0], 255) * size // 256
-    alike = sum(a == b for r in recent for a, b in zip(r, table)) + (4 - len(recent)) * counts[0]
-    return min(size, max(hits, uneven, never, alike * size // 1024))
+#: Fixed: what the k-th byte that follows a further one costs of a piece's size, in 1/32768.
+FOLLOWER_COST = [32768 // (204 * k) for k in range(1, 256)]
 
 
 def redundancies(sizes, hits, tables, recent=None):
-    """:func:`redundancy` of many pieces at once: numpy arrays of sizes and hits, of tables (n, 256) and of recent tables (n, 4, 256), where a table of zeros stands for none."""
+    """Bytes that could be saved of many pieces, each at most its size: the most of bytes predicted, unevenness of what follows what, share of bytes that nothing follows, and likeness to four recent tables.
+
+    Numpy arrays of sizes and hits, of tables (n, 256), and of recent tables (n, 4, 256), where a table of zeros stands for none.
+    """
     import numpy as np
 
-    cost = np.array([32768 // ((k + 1) * 204) for k in range(255)], np.int64)
+    cost = np.array(FOLLOWER_COST, np.int64)
     out = np.zeros(len(sizes), np.int64)
     for at in range(0, len(sizes), 1024):
         size, t = np.asarray(sizes[at : at + 1024], np.int64), tables[at : at + 1024]
@@ -167,7 +165,7 @@ def chunk_content(files: DataFrame, key: str, content: str, f: int = 6, tables:
         import pyarrow as pa
 
         names = [key, "pos", "off", "len", "sha1", "hits", "is_text", "is_code", "table"]
-        for batch in batches:
+        for batch in (whole.slice(k, LANES) for whole in batches for k in range(0, max(whole.num_rows, 1), LANES)):
             keys, data = batch.column(0), batch.column(1).to_pylist()
             some = [k for k, d in enumerate(data) if d is not None]
             at, cols = [], [[] for _ in names[1:]]

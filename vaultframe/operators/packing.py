@@ -45,30 +45,6 @@ def pack_blocks(fragments: DataFrame, block_size: int) -> DataFrame:
     return rows.withColumn("block_offset", offset).drop("_s", "_c", "_w", "_before", "_at")
 
 
-def fold_into_blocks(pieces: list[dict], block_size: int) -> list[int]:
-    """Block number of each piece (size, hits, first of a file, bytes of the file, table) taken one after the other.
-
-    A file begins a new block if it doesn't fit, or if the block is over a quarter
-    full with little redundancy and the file's first table has little in common
-    with the last four; any piece does that would overfill the block.
-    """
-    out, block, used, count, saved, recent = [], 0, 0, 0, 0, []
-    for p in pieces:
-        fresh = False
-        if count and p["first"]:
-            would = used + p["file_size"] + (p["file_size"] >> 14) + 4096 + 4 * count
-            if would > block_size // 4 and saved < used // 128:
-                fresh = sum(bool(a) and a == b for r in recent for a, b in zip(r, p["table"])) <= 8
-            fresh = fresh or would >= block_size
-        if count and (fresh or used + p["size"] + 80 + 4 * count >= block_size):
-            block, used, count, saved, recent = block + 1, 0, 0, 0, []
-        used, count, saved = used + p["size"], count + 1, saved + p["hits"]
-        if p["size"] >= p.get("least", 4096):
-            recent = [*recent, p["table"]][-4:]
-        out.append(block)
-    return out
-
-
 def shared_redundancy(pieces: DataFrame, order: list[str], least: int, by: str = "block_no") -> DataFrame:
     """(by, len, is_text, is_code, redundancy): pieces with the redundancy that they have after those before them in their block.
 
@@ -156,35 +132,20 @@ def gap_histogram(items: DataFrame, by: list[str], value: str, place: str) -> Da
     return items.withColumn("gap", (F.col(place) - F.lag(place).over(w)).cast("bigint")).filter("gap is not null").groupBy(*by, "gap").agg(F.count("*").alias("n"))
 
 
+#: A gap is a period if it lies in this range and so large a share of the bytes come again after it.
+PERIODS, PERIOD_SHARE = (5, 4095), 0.1
+
+
 def periods_of(content: bytes, most: int = 2) -> list[int]:
-    """Up to two periods of a content: gaps of 5..4095 bytes that are common among those not shorter, with a score above 0.1."""
+    """The periods of a content: the commonest gaps between a byte and its last occurrence, those that a share of all bytes has."""
     import numpy as np
 
     data = np.frombuffer(content, np.uint8)
-    n = len(data)
     order = np.argsort(data, kind="stable")
-    same = data[order][1:] == data[order][:-1]
-    gaps = (order[1:] - order[:-1])[same]
-    # The first occurrence of a byte counts as a gap from the beginning.
-    firsts = np.unique(data, return_index=True)[1]
-    counts = np.bincount(np.concatenate((gaps, firsts)), minlength=4096)[:4096].astype(float)
-    counts[0] = 0
-    left, found = n - counts[1] - counts[2] - counts[3], []
-    for _ in range(most):
-        best, period, passed = 0.0, 0, 0.0
-        for j in range(5, 4096):
-            if passed >= left:
-                break
-            score = counts[j] / (256.0 + left - passed)
-            if score > best:
-                best, period = score, j
-            passed += counts[j]
-        if period <= 4 or best <= 0.1:
-            break
-        found.append(period)
-        left -= counts[period]
-        counts[period] = 0
-    return found
+    gaps = np.diff(order)[np.diff(data[order]) == 0]
+    counts = np.bincount(gaps[gaps <= PERIODS[1]], minlength=PERIODS[1] + 1)[PERIODS[0] :]
+    common = np.flatnonzero(counts > PERIOD_SHARE * len(data))
+    return (common[np.argsort(-counts[common], kind="stable")][:most] + PERIODS[0]).tolist()
 
 
 def periodic_models(content: bytes) -> str:

@@ -156,3 +156,25 @@ def test_index_beside_and_another_password(spark, rows):
         vault.add(frame(spark, {"a": b"2"}, 20220101000000), 20210103000000, index=Vault(spark, scratch_path(spark, "index")))
     copy = vault.repack_all_to(scratch_path(spark, "copy"), "two")
     assert contents(Vault(spark, copy.path, "two").extract(until=1)) == BASE
+
+
+@pytest.mark.parametrize("level", ["0", "1", "2", "3", "4", "5"])
+def test_levels(spark, level):
+    """Each block gets a method of its level by its pieces, and all comes back."""
+    import random
+
+    from vaultframe.functions.codecs import parse_method
+
+    rnd = random.Random(int(level))
+    n = 300 if level in "45" else 3000
+    text = " ".join(rnd.choice(["house", "order", "the", "will", "ayes", "1."]) for _ in range(n // 4)).encode()
+    contents = {"a.txt": text, "b.bin": rnd.randbytes(n), "c.same": b"abc" * (n // 3), "d.empty": b"", "e.txt": text + b"more"}
+    frame = spark.createDataFrame([(p, 20200101000000, len(c), 0, bytearray(c)) for p, c in contents.items()], "dt_path string, dt_date bigint, dt_size bigint, dt_attr bigint, content binary")
+    vault = Vault(spark, scratch_path(spark, "levels"), fragment=0, method=level, block_size=n)
+    made = vault.add(frame, 20210101000000)
+    assert made["read_bytes"] == sum(map(len, contents.values())) >= made["new_bytes"]
+    assert {r["dt_path"]: bytes(r["content"]) for r in vault.extract().collect()} == contents
+    methods = {r["method"] for r in vault.blocks().select("method").collect()}
+    assert all(parse_method(m) for m in methods) and not any("{" in m for m in methods)
+    assert level != "1" or len(methods) > 1
+    assert vault.verify().filter("frags_ok < frags").count() == 0

@@ -32,6 +32,7 @@ ENTRIES = "dt_path string, dt_date bigint, dt_size bigint, dt_attr bigint, dt_pt
 FRAGMENTS = "frag_id bigint, ht_sha1 binary, ht_usize bigint, block_id bigint, pos_in_block int, block_offset bigint, version_no int"
 BLOCKS = "block_id bigint, frags bigint, usize bigint, bsize bigint, method string, payload binary, version_no int"
 KEYS = ("dt_path",)
+LEVELS = ("0", "1", "2", "3", "4", "5")
 
 
 def slices(blobs: DataFrame, parts: DataFrame, key: str, blob: str, off: str, length: str, into: str) -> DataFrame:
@@ -94,12 +95,22 @@ class Selection:
 
 
 class Vault:
-    """Store at ``path``; with a password its payloads are encrypted. ``block_size``: bytes of fragments in a block. ``fixed``: pieces of so many bytes instead of content-defined ones, which need no look at the content."""
+    """Store at ``path``; with a password its payloads are encrypted.
 
-    def __init__(self, spark: SparkSession, path: str, password: str | None = None, fragment: int = 6, method: str = "zstd", block_size: int = 1 << 24, fixed: int | None = None):
+    ``method``: of all blocks, or a level 0 to 5 by which each block gets its own from
+    what its pieces are like. ``block_size``: bytes of fragments in a block, by default
+    16 MiB, at levels from 2 on 64 MiB. ``fixed``: pieces of so many bytes instead of
+    content-defined ones, which need no look at the content; a level then takes
+    all for data that nothing is known of.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, password: str | None = None, fragment: int = 6, method: str = "zstd", block_size: int | None = None, fixed: int | None = None):
         if not 0 <= fragment <= 16:
             raise VaultError("the size of fragments is 0 to 16")
-        codecs.parse_method(method)
+        if method not in LEVELS:
+            codecs.parse_method(method)
+        if block_size is None:
+            block_size = 1 << 26 if method in LEVELS[2:] else 1 << 24
         self.spark, self.path = spark, path.rstrip("/")
         self.fragment, self.method, self.block_size, self.fixed = fragment, method, block_size, fixed
         head = json.loads(read_text(spark, f"{self.path}/head.json") or "null")
@@ -206,6 +217,7 @@ class Vault:
         changed = outside.join(read, "dt_path", "left_semi")
         if self.fixed:
             pieces = chunk.chunk_fixed(changed, "dt_path", "content", self.fixed).withColumn("sha1", F.unhex("sha1"))
+            pieces = pieces.withColumns({"redundancy": F.shiftright("len", 2), "is_text": F.lit(False), "is_code": F.lit(False)})
         else:
             pieces = chunk.chunk_content(changed, "dt_path", "content", self.fragment)
         rank = outside.select("dt_path", paths.extension_key(F.col("dt_path")).alias("ext"), (-F.shiftright(F.coalesce("dt_size", F.lit(0)), 14)).alias("bucket"))
@@ -223,9 +235,10 @@ class Vault:
         mine = self.spark.read.parquet(f"{self.path}/fragments/{target}")
         figures = mine.agg(F.count("*").alias("n"), F.max("frag_id").alias("f"), F.max("block_id").alias("b")).first()
 
-        where = fresh.select("dt_path", "pos", "block_id", "frag_id").join(pieces.select("dt_path", "pos", "off", "ht_usize"), ["dt_path", "pos"])
+        where = fresh.select("dt_path", "pos", "block_id", "frag_id").join(pieces.select("dt_path", "pos", "off", "ht_usize", "redundancy", "is_text", "is_code"), ["dt_path", "pos"])
         bytes_ = slices(outside, where, "dt_path", "content", "off", "ht_usize", "p").select("block_id", "frag_id", "ht_usize", "p")
-        self._write_blocks(bytes_, f"{self.path}/blocks/{target}")
+        self._write_blocks(bytes_, self._methods(where), f"{self.path}/blocks/{target}")
+        read_bytes, new_bytes = (x.agg(F.coalesce(F.sum("ht_usize"), F.lit(0))).first()[0] for x in (pieces, mine))
         packed = self.spark.read.parquet(f"{self.path}/blocks/{target}").agg(F.sum("bsize").alias("s")).first()["s"] or 0
 
         known = self.fragments().select("ht_sha1", "frag_id").unionByName(mine.select("ht_sha1", "frag_id"))
@@ -242,7 +255,7 @@ class Vault:
         deletes = gone.select("dt_path", F.lit(0).cast("bigint").alias("dt_date"), F.lit(0).cast("bigint").alias("dt_size"), F.lit(0).cast("bigint").alias("dt_attr"), F.array().cast("array<bigint>").alias("dt_ptr"))
         updates.unionByName(deletes).write.mode("overwrite").parquet(f"{self.path}/entries/{target}")
         counts = self.spark.read.parquet(f"{self.path}/entries/{target}").agg(F.count(F.when(F.col("dt_date") == 0, 1)).alias("d"), F.count("*").alias("n")).first()
-        result = {"version_no": number, "date": now, "updates": counts["n"] - counts["d"], "deletes": counts["d"], "frags": figures["n"], "bsize": packed, "last_frag": figures["f"] or last_frag, "last_block": figures["b"] or last_block, "tables": ["entries", *(["fragments", "blocks"] if figures["n"] else [])]}
+        result = {"version_no": number, "date": now, "updates": counts["n"] - counts["d"], "deletes": counts["d"], "frags": figures["n"], "bsize": packed, "read_bytes": read_bytes, "new_bytes": new_bytes, "last_frag": figures["f"] or last_frag, "last_block": figures["b"] or last_block, "tables": ["entries", *(["fragments", "blocks"] if figures["n"] else [])]}
         if counts["n"]:
             write_text(self.spark, f"{self.path}/commits.json", json.dumps([*log, result]))
             if index is not None:
@@ -252,16 +265,27 @@ class Vault:
                 write_text(self.spark, f"{index.path}/commits.json", json.dumps([*log, result]))
         return result
 
-    def _write_blocks(self, rows: DataFrame, path: str) -> None:
+    def _methods(self, pieces: DataFrame) -> DataFrame:
+        """(block_id, method) of blocks by their pieces; ``{p}`` in a method stands for the periods of the content."""
+        if self.method not in LEVELS:
+            return pieces.select("block_id", F.lit(self.method).alias("method")).distinct()
+        hints = packing.block_hints(pieces.withColumnRenamed("ht_usize", "len"), "block_id")
+        method = packing.choose_method(int(self.method), F.col("redundancy"), F.col("kind"), packing.size_class(F.col("bytes")), F.lit("{p}"))
+        return hints.select("block_id", method.alias("method"))
+
+    def _write_blocks(self, rows: DataFrame, methods: DataFrame, path: str) -> None:
         """Rows of (block_id, frag_id, ht_usize, p) as packed blocks. A block is gathered by the task that packs it; its size is bounded by block_size and one fragment."""
-        spec, key = self.method, self.key
+        key = self.key
+        rows = rows.join(methods, "block_id")
 
         def pack(key_, table):
             import pyarrow as pa
 
             t = table.sort_by("frag_id")
-            content = b"".join(t.column("p").to_pylist())
-            return pa.table({"block_id": [key_[0].as_py()], "frags": [t.num_rows], "usize": [len(content)], "method": [spec], "payload": pa.array([codecs.pack_bytes(content, spec)], pa.binary())})
+            content, method = b"".join(t.column("p").to_pylist()), t.column("method")[0].as_py()
+            if "{p}" in method:
+                method = method.replace("{p}", packing.periodic_models(content))
+            return pa.table({"block_id": [key_[0].as_py()], "frags": [t.num_rows], "usize": [len(content)], "method": [method], "payload": pa.array([codecs.pack_bytes(content, method)], pa.binary())})
 
         blocks = rows.groupBy("block_id").applyInArrow(pack, "block_id bigint, frags bigint, usize bigint, method string, payload binary")
         if key is not None:

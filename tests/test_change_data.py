@@ -168,8 +168,8 @@ def test_paths_of_one_hash_are_told_apart():
 
     old = listing([(1, "a", 1), (1, "b", 1), (2, "c", 1), (3, "d", 1), (3, "d", 9), (5, "z", 1)])
     new = listing([(1, "b", 2), (1, "x", 1), (2, "y", 1), (3, "d", 1), (4, "e", 1), (5, "z", 1), (5, "zz", 1)])
-    row = {"root_id": 1, "range": 0, "snap_no": 2, "delivery_id": 5, "prev_id": 4}
-    got = sorted((m, p) for b in snapshots._changes(old, new, row) for m, p in zip(b.column("mark").to_pylist(), b.column("dt_path").to_pylist()))
+    new.row.update({"root_id": 1, "range": 0, "snap_no": 2, "delivery_id": 5, "prev_id": 4})
+    got = sorted((m, p) for b in snapshots._changes(old, new) for m, p in zip(b.column("mark").to_pylist(), b.column("dt_path").to_pylist()))
     assert got == [("#", "b"), ("+", "e"), ("+", "x"), ("+", "y"), ("+", "zz"), ("-", "a"), ("-", "c")]
 
 

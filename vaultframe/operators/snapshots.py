@@ -13,11 +13,15 @@ from vaultframe.session import read_text, scratch_path, write_text
 
 #: Lines of the largest listing that a range is meant for when a store is made, and the most bits of the hashed path that choose it.
 RANGE_LINES, RANGE_BITS = 1 << 16, 20
+#: Listings whose numbers are broadcast to their lines; more are joined by an exchange.
+BROADCAST_LISTINGS = 500_000
 
-_TODO = "delivery_id bigint, root_id int, snap_no int, prev_id bigint, next_id bigint, next_snap int, fresh boolean"
 _CHAIN = "delivery_id bigint, root_id int, snap_no int, prev_id bigint, fresh boolean"
-_LINE = ("root_id", "range", "snap_no", "delivery_id", "prev_id", "next_id", "next_snap", "fresh", "h", "dt_path", "rank", "dt_date", "dt_size")
-_MADE = "root_id int, range int, snap_no int, delivery_id bigint, prev_id bigint, h bigint, dt_path string, mark string, old_date bigint, new_date bigint, old_size bigint, new_size bigint"
+#: What is exchanged: cell: root and range; place: twice the snap_no, one more for a line. The first row of a listing in a cell has the listing's numbers: h: its delivery, row_no: snap_no, dt_date: the delivery that it is to be compared with, dt_size: whether it is new.
+_ROW = ("cell", "place", "h", "dt_path", "row_no", "dt_date", "dt_size")
+_MADE = "root_id int, range int, snap_no int, delivery_id bigint, prev_id bigint, dt_path string, mark string, old_date bigint, new_date bigint, old_size bigint, new_size bigint"
+#: Of several lines for a path the first in this order counts.
+_BEST = ("row_no", "dt_date", "dt_size")
 
 
 def valid_deliveries(deliveries: DataFrame) -> DataFrame:
@@ -34,7 +38,7 @@ def valid_deliveries(deliveries: DataFrame) -> DataFrame:
 
 
 def _combined(lines: DataFrame) -> DataFrame:
-    """The lines (delivery_id, dt_path, rank, ...) without those that a line of their own Arrow batch outranks, so that a path listed very often is exchanged once a batch."""
+    """The lines without those of which their own Arrow batch has a better one for the path, so that a path listed very often is exchanged once a batch."""
 
     def run(batches):
         import numpy as np
@@ -44,7 +48,7 @@ def _combined(lines: DataFrame) -> DataFrame:
         for batch in batches:
             rows = pa.Table.from_batches([batch])
             if rows.num_rows and rows.group_by(["delivery_id", "dt_path"]).aggregate([]).num_rows < rows.num_rows:
-                rows = rows.take(pc.sort_indices(rows, sort_keys=[("delivery_id", "ascending"), ("dt_path", "ascending"), ("rank", "descending")])).combine_chunks()
+                rows = rows.take(pc.sort_indices(rows, sort_keys=[("delivery_id", "ascending"), ("dt_path", "ascending"), *((c, "descending") for c in _BEST)])).combine_chunks()
                 again = np.ones(rows.num_rows, bool)
                 again[0] = False
                 for c in ("delivery_id", "dt_path"):
@@ -62,20 +66,21 @@ class _Listing:
         self.row, self.parts = row, []
 
     def close(self) -> _Listing:
-        """The lines as arrays; of several lines for a path the first, which has the largest rank."""
+        """The lines as arrays; of several lines for a path the first."""
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        lines = pa.Table.from_batches(self.parts).combine_chunks()
+        kinds = pa.schema([("h", pa.int64()), ("dt_path", pa.string()), ("dt_date", pa.int64()), ("dt_size", pa.int64())])
+        lines = pa.Table.from_batches(self.parts, kinds if not self.parts else None).combine_chunks()
         h, path = lines.column("h").to_numpy(), lines.column("dt_path").combine_chunks()
         near = np.flatnonzero(h[1:] == h[:-1])
-        near = near[pc.equal(path.take(pa.array(near + 1)), path.take(pa.array(near))).to_numpy(zero_copy_only=False)]
+        near = near[:0] if not len(near) else near[pc.equal(path.take(pa.array(near + 1)), path.take(pa.array(near))).to_numpy(zero_copy_only=False)]
         if len(near):
             keep = np.ones(len(h), bool)
             keep[near + 1] = False
             lines = lines.filter(pa.array(keep)).combine_chunks()
-        self.h, self.cols = lines.column("h").to_numpy(), {c: lines.column(c).combine_chunks() for c in ("h", "dt_path", "dt_date", "dt_size")}
+        self.h, self.cols = lines.column("h").to_numpy(), {c: lines.column(c).combine_chunks() for c in ("dt_path", "dt_date", "dt_size")}
         return self
 
     def take(self, column: str, at):
@@ -90,6 +95,8 @@ def _side_by_side(old: _Listing, new: _Listing):
     import pyarrow.compute as pc
 
     n = len(old.h)
+    if not n or not len(new.h):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     key = np.concatenate((old.h, new.h))
     order = np.argsort(key, kind="stable")
     key = key[order]
@@ -109,21 +116,19 @@ def _side_by_side(old: _Listing, new: _Listing):
     return i, j
 
 
-def _changes(old: _Listing | None, new: _Listing | None, later: dict):
-    """Typed changes from one listing to the next, of which one may have no lines here; ``later``: the numbers of the second."""
+def _changes(old: _Listing, new: _Listing):
+    """Typed changes from one listing to the next."""
     import numpy as np
     import pyarrow.compute as pc
 
-    none = np.empty(0, np.int64)
-    i, j = _side_by_side(old, new) if old is not None and new is not None else (none, none)
+    i, j = _side_by_side(old, new)
     differs = np.zeros(len(i), bool)
     for c in ("dt_date", "dt_size") if len(i) else ():
         differs |= pc.fill_null(pc.not_equal(old.take(c, i), new.take(c, j)), False).to_numpy(zero_copy_only=False)
-    gone = np.setdiff1d(np.arange(len(old.h)), i) if old is not None else none
-    come = np.setdiff1d(np.arange(len(new.h)), j) if new is not None else none
+    gone, come = np.setdiff1d(np.arange(len(old.h)), i), np.setdiff1d(np.arange(len(new.h)), j)
     for mark, a, b in (("-", gone, None), ("+", None, come), ("#", i[differs], j[differs])):
         if len(a if a is not None else b):
-            yield _made("change", later, mark, (old, a), (new, b))
+            yield _made("change", new.row, mark, (old, a), (new, b))
 
 
 def _made(kind: str, row: dict, mark: str | None, old, new):
@@ -134,52 +139,46 @@ def _made(kind: str, row: dict, mark: str | None, old, new):
     size = len(at)
     value = lambda side, c: pa.nulls(size, pa.int64()) if side[1] is None else side[0].take(c, side[1])
     fixed = [pa.array([row[c]] * size, t) for c, t in (("root_id", pa.int32()), ("range", pa.int32()), ("snap_no", pa.int32()), ("delivery_id", pa.int64()), ("prev_id", pa.int64()))]
-    cols = [*fixed, here.take("h", at), here.take("dt_path", at), pa.array([mark] * size, pa.string()), value(old, "dt_date"), value(new, "dt_date"), value(old, "dt_size"), value(new, "dt_size"), pa.array([kind] * size, pa.string())]
+    cols = [*fixed, here.take("dt_path", at), pa.array([mark] * size, pa.string()), value(old, "dt_date"), value(new, "dt_date"), value(old, "dt_size"), value(new, "dt_size"), pa.array([kind] * size, pa.string())]
     return pa.RecordBatch.from_arrays(cols, [*(x.split()[0] for x in _MADE.split(", ")), "kind"])
 
 
-def _merged(batches):
-    """The merge of one partition of sorted lines: changes, and the new listings as they are to be kept. One listing of a range is held at a time, and the one before it."""
-    import numpy as np
-
-    last, open_ = None, None
+def _merged(bits: int):
+    """The merge of one partition of sorted rows: changes, and the new listings as they are to be kept. Two listings of a cell are held at a time."""
 
     def end(listing, before):
-        """Closes a listing and compares it with the one before it, or that one with nothing."""
+        import numpy as np
+
         listing.close()
         row = listing.row
-        if before is not None and (before.row["root_id"], before.row["range"]) != (row["root_id"], row["range"]):
-            yield from lost(before)
-            before = None
-        if before is not None and before.row["delivery_id"] != row["prev_id"]:
-            yield from lost(before)
-            before = None
         if row["prev_id"] is not None:
-            yield from _changes(before, listing, row)
-        if row["fresh"]:
+            yield from _changes(before, listing)
+        if row["fresh"] and len(listing.h):
             yield _made("kept", row, None, (None, None), (listing, np.arange(len(listing.h))))
 
-    def lost(listing):
-        """All lines of a listing whose successor has none here."""
-        row = listing.row
-        if row["next_id"] is not None:
-            yield from _changes(listing, None, {**row, "delivery_id": row["next_id"], "snap_no": row["next_snap"], "prev_id": row["delivery_id"]})
-
-    for batch in batches:
-        ids = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("root_id", "range", "delivery_id")]
-        if not batch.num_rows:
-            continue
-        edges = np.flatnonzero(np.concatenate(([True], np.logical_or.reduce([x[1:] != x[:-1] for x in ids]), [True])))
-        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            row = {c: batch.column(c)[lo].as_py() for c in _LINE[:8]}
-            if open_ is None or any(open_.row[c] != row[c] for c in ("root_id", "range", "delivery_id")):
+    def run(batches):
+        import numpy as np
+
+        last, open_ = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cell, place = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "place"))
+            edges = np.flatnonzero(np.concatenate(([True], (cell[1:] != cell[:-1]) | (place[1:] != place[:-1]), [True])))
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                if place[lo] % 2:
+                    open_.parts.append(batch.slice(lo, hi - lo).select(["h", "dt_path", "dt_date", "dt_size"]))
+                    continue
                 if open_ is not None:
                     yield from end(open_, last)
-                last, open_ = open_, _Listing(row)
-            open_.parts.append(batch.slice(lo, hi - lo).select(["h", "dt_path", "dt_date", "dt_size"]))
-    if open_ is not None:
-        yield from end(open_, last)
-        yield from lost(open_)
+                last = open_
+                at = int(cell[lo])
+                numbers = (batch.column(c)[lo].as_py() for c in ("h", "row_no", "dt_date", "dt_size"))
+                open_ = _Listing({"root_id": at >> bits, "range": at & (1 << bits) - 1, **dict(zip(("delivery_id", "snap_no", "prev_id", "fresh"), numbers))})
+        if open_ is not None:
+            yield from end(open_, last)
+
+    return run
 
 
 class SnapshotStore:
@@ -208,9 +207,9 @@ class SnapshotStore:
     def accept(self, snapshots: DataFrame, deliveries: DataFrame) -> None:
         """Takes in the listings of valid deliveries that aren't kept yet. ``deliveries``: the whole log; ``snapshots``: at least the lines of the new ones.
 
-        Of several lines for a path the one with the largest row_no counts; lines of
-        equal row_no are put in the order of a hash of their values, a null row_no
-        comes first. Lines with a null path don't count. -1 becomes null.
+        Of several lines for a path the one with the largest row_no counts, of equal
+        ones that of the largest date, then size; nulls come last. Lines with a null
+        path don't count. -1 becomes null.
         """
         head = self._head()
         number = head["intakes"]
@@ -229,20 +228,31 @@ class SnapshotStore:
         pairs = chain.filter("prev_id is not null").select("delivery_id", "prev_id", "snap_no")
         if number:
             pairs = pairs.join(before.select("delivery_id", "prev_id").distinct(), ["delivery_id", "prev_id"], "left_anti")
-        # What is to be merged now, one row a listing: with its predecessor, and its successor with it.
+        # What is to be merged now, one row a listing: what is new, what it is compared with, and what was compared with another one so far.
         todo = chain.drop("prev_id").join(pairs.select("delivery_id", "prev_id"), "delivery_id", "left")
-        todo = todo.join(pairs.select(F.col("prev_id").alias("delivery_id"), F.col("delivery_id").alias("next_id"), F.col("snap_no").alias("next_snap")), "delivery_id", "left").filter("fresh or prev_id is not null or next_id is not null")
+        former = pairs.select(F.col("prev_id").alias("delivery_id"), F.lit(True).alias("former"))
+        todo = todo.join(former, "delivery_id", "left").filter("fresh or former or prev_id is not null").drop("former")
 
-        rank = F.coalesce(F.col("row_no").cast("bigint"), F.lit(-1)) * (1 << 31) + F.xxhash64("dt_date", "dt_size").bitwiseAND(0x7FFFFFFF)
+        bits = head["bits"]
         date, size = (F.when(F.col(c) != -1, F.col(c)).cast("bigint").alias(c) for c in ("dt_date", "dt_size"))
-        lines = snapshots.filter(F.col("dt_path").isNotNull()).select("delivery_id", "dt_path", rank.alias("rank"), date, size)
-        lines = _combined(lines.join(todo.filter("fresh"), "delivery_id")).withColumn("h", F.xxhash64("dt_path"))
-        lines = lines.withColumn("range", F.shiftrightunsigned("h", 64 - head["bits"]).cast("int") if head["bits"] else F.lit(0)).select(*_LINE)
+        lines = snapshots.filter(F.col("dt_path").isNotNull()).select("delivery_id", "dt_path", F.col("row_no").cast("int").alias("row_no"), date, size)
+        numbered = todo.select("delivery_id", "fresh", (F.col("root_id").cast("bigint") * (1 << bits)).alias("cell"), (F.col("snap_no").cast("bigint") * 2).alias("place"))
+        if chain.count() <= BROADCAST_LISTINGS:
+            numbered = F.broadcast(numbered)
+        h = F.xxhash64("dt_path")
+        of_range = F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0)
+
+        def placed(rows):
+            return rows.withColumn("h", h).select((F.col("cell") + of_range).alias("cell"), (F.col("place") + 1).alias("place"), *_ROW[2:])
+
+        rows = placed(_combined(lines.join(numbered.filter("fresh"), "delivery_id").drop("fresh")))
         if number:
-            kept = self._made("kept", range(number)).select("delivery_id", "range", "h", "dt_path", F.lit(0).cast("bigint").alias("rank"), F.col("new_date").alias("dt_date"), F.col("new_size").alias("dt_size"))
-            lines = lines.unionByName(kept.join(todo.filter("not fresh"), "delivery_id").select(*_LINE))
-        ordered = lines.repartition("root_id", "range").sortWithinPartitions("root_id", "range", "snap_no", "delivery_id", "h", "dt_path", F.desc("rank"))
-        merged = ordered.drop("rank").mapInArrow(_merged, f"{_MADE}, kind string")
+            kept = self._made("kept", range(number)).select("delivery_id", "dt_path", F.lit(0).alias("row_no"), F.col("new_date").alias("dt_date"), F.col("new_size").alias("dt_size"))
+            rows = rows.unionByName(placed(kept.join(numbered.filter("not fresh"), "delivery_id")))
+        cells = F.explode(F.sequence(F.lit(0), F.lit((1 << bits) - 1))).alias("range")
+        heads = todo.select("*", cells).select((F.col("root_id").cast("bigint") * (1 << bits) + F.col("range")).alias("cell"), (F.col("snap_no").cast("bigint") * 2).alias("place"), F.col("delivery_id").alias("h"), F.lit(None).cast("string").alias("dt_path"), F.col("snap_no").alias("row_no"), F.col("prev_id").alias("dt_date"), F.col("fresh").cast("bigint").alias("dt_size"))
+        ordered = rows.unionByName(heads).repartition("cell").sortWithinPartitions("cell", "place", "h", "dt_path", *(F.desc(c) for c in _BEST))
+        merged = ordered.mapInArrow(_merged(bits), f"{_MADE}, kind string")
         merged.write.mode("overwrite").partitionBy("kind").parquet(f"{self.path}/merged/intake={number}")
         write_text(self.spark, f"{self.path}/intakes.json", json.dumps({**head, "intakes": number + 1}))
 

@@ -86,3 +86,8 @@ def commit_dates(versions: DataFrame) -> DataFrame:
     rows = versions.withColumn("_i", place).withColumn("_s", seconds)
     fixed = F.max(F.col("_s") - F.col("_i")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("_i")
     return rows.select("archive_id", "version_no", "ver_date", decimal_date(F.timestamp_seconds(fixed)).alias("commit_date"))
+
+
+def last_dates(versions: DataFrame) -> DataFrame:
+    """(archive_id, last_date): the latest date that any committed version of an archive was begun or finished at; the next one must be later."""
+    return versions.filter("ver_csize <> -1").groupBy("archive_id").agg(F.max(F.greatest("ver_date", "ver_lastdate")).alias("last_date"))

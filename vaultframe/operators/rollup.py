@@ -131,3 +131,17 @@ def stream_files(segments: DataFrame) -> DataFrame:
     rows = rows.withColumn("_w", within).alias("r").join(per.alias("p"), F.expr("r.origin <=> p.origin and r._s <=> p._s"))
     rows = rows.select("r.origin", "r.seg_id", "r.seg_name", "r.ht_usize", "_b", (F.col("_w") + F.col("_before")).alias("file_no"))
     return rows.groupBy("origin", "file_no").agg(F.max(F.when(F.col("_b") == 1, F.col("seg_name"))).alias("seg_name"), F.min("seg_id").alias("first_seg"), F.count("*").alias("segments"), F.sum(F.greatest(F.coalesce("ht_usize", F.lit(0)), F.lit(0)).cast("bigint")).alias("bytes"))
+
+
+def comment_values(comment):
+    """(date, attr) that a segment's comment has: 14 digits, then perhaps a blank, the tag ``u`` or ``w`` and a number; null where it hasn't."""
+    parts = lambda k: F.nullif(F.regexp_extract(comment, r"^\s*(\d{1,18})(?:\s+([uw])(\d{1,9}))?", k), F.lit(""))
+    return parts(1).cast("bigint"), F.ascii(parts(2)) + parts(3).cast("bigint") * 256
+
+
+def stream_entries(segments: DataFrame) -> DataFrame:
+    """The files of :func:`stream_files` as entries: (origin, file_no, dt_path, dt_date, dt_size, dt_attr), date and attr from the comment of the segment that begins each."""
+    date, attr = comment_values(F.col("seg_comment"))
+    first = segments.select(F.col("seg_id").alias("first_seg"), date.alias("dt_date"), attr.alias("dt_attr"))
+    files = stream_files(segments).filter("seg_name is not null").join(first, "first_seg")
+    return files.select("origin", "file_no", F.col("seg_name").alias("dt_path"), "dt_date", F.col("bytes").alias("dt_size"), "dt_attr")

@@ -341,3 +341,17 @@ UNION ALL SELECT 'entry_without_list', count(*) FROM entries WHERE dt_ptr IS NUL
 UNION ALL SELECT 'pointer_to_nothing', count(*) FROM (SELECT unnest(dt_ptr) AS frag_id FROM entries) LEFT JOIN fragments f USING (frag_id) WHERE f.ht_usize IS NULL AND f.ht_sha1 IS NULL AND frag_id NOT IN (SELECT frag_id FROM fragments)""")
 def archive_problems(spark, sf_dir):
     return problems(*_tables(spark, sf_dir, "versions", "blocks", "fragments", "entries"))
+
+
+@query("SELECT archive_id, max(greatest(ver_date, ver_lastdate)) AS last_date FROM versions WHERE ver_csize <> -1 GROUP BY 1")
+def last_dates(spark, sf_dir):
+    return journal.last_dates(table(spark, sf_dir, "versions"))
+
+
+@query("""WITH n AS (SELECT origin, seg_id, seg_name, seg_comment, greatest(coalesce(ht_usize, 0), 0) AS u, sum((coalesce(seg_name, '') <> '')::INT) OVER (PARTITION BY origin ORDER BY seg_id) AS file_no FROM segments),
+f AS (SELECT origin, file_no, min(seg_id) AS seg_id, sum(u) AS bytes FROM n WHERE file_no > 0 GROUP BY 1, 2)
+SELECT f.origin, CAST(f.file_no AS BIGINT) AS file_no, n.seg_name AS dt_path, TRY_CAST(nullif(regexp_extract(seg_comment, '^\\s*(\\d{1,18})', 1), '') AS BIGINT) AS dt_date, CAST(bytes AS BIGINT) AS dt_size,
+ascii(nullif(regexp_extract(seg_comment, '^\\s*\\d{1,18}\\s+([uw])\\d{1,9}', 1), '')) + TRY_CAST(nullif(regexp_extract(seg_comment, '^\\s*\\d{1,18}\\s+[uw](\\d{1,9})', 1), '') AS BIGINT) * 256 AS dt_attr
+FROM f JOIN n ON n.seg_id = f.seg_id""")
+def stream_entries(spark, sf_dir):
+    return rollup.stream_entries(table(spark, sf_dir, "segments"))

@@ -226,7 +226,12 @@ class Vault:
 
         order = ["ext", "bucket", "dt_path", "pos"]
         last_frag, last_block = (log[-1]["last_frag"], log[-1]["last_block"]) if log else (0, 0)
-        fresh = packing.assign_ids(packing.new_fragments(pieces, self.fragments(), order), order, last_frag)
+        # The one look at the fragments of all versions: each distinct piece with the id that it has there, if any. A store has a key once.
+        known = self.fragments().filter(F.col("ht_sha1") != F.lit(b"\0" * 20)).select("ht_sha1", F.col("frag_id").alias("known_id"))
+        first = pieces.groupBy("ht_sha1").agg(F.min(F.struct(*order, "ht_usize")).alias("f")).join(known, "ht_sha1", "left")
+        first.select("ht_sha1", "known_id", "f.*").write.parquet(f"{work}/first")
+        first = self.spark.read.parquet(f"{work}/first")
+        fresh = packing.assign_ids(first.filter("known_id is null").drop("known_id"), order, last_frag)
         fresh = packing.pack_blocks(fresh, self.block_size)
         place = F.row_number().over(Window.partitionBy("block_no").orderBy("frag_id")) - 1
         fresh = fresh.select("frag_id", "ht_sha1", "ht_usize", (F.col("block_no") + last_block + 1).alias("block_id"), place.cast("int").alias("pos_in_block"), "block_offset", "dt_path", "pos")
@@ -241,8 +246,7 @@ class Vault:
         read_bytes, new_bytes = (x.agg(F.coalesce(F.sum("ht_usize"), F.lit(0))).first()[0] for x in (pieces, mine))
         packed = self.spark.read.parquet(f"{self.path}/blocks/{target}").agg(F.sum("bsize").alias("s")).first()["s"] or 0
 
-        known = self.fragments().select("ht_sha1", "frag_id").unionByName(mine.select("ht_sha1", "frag_id"))
-        known = known.filter(F.col("ht_sha1") != F.lit(b"\0" * 20)).groupBy("ht_sha1").agg(F.min("frag_id").alias("frag_id"))
+        known = first.filter("known_id is not null").select("ht_sha1", F.col("known_id").alias("frag_id")).unionByName(mine.select("ht_sha1", "frag_id"))
         lists = pieces.join(known, "ht_sha1").groupBy("dt_path").agg(F.sort_array(F.collect_list(F.struct("pos", "frag_id"))).alias("s")).select("dt_path", F.col("s.frag_id").alias("new_ptr"))
         old = inside.select("dt_path", F.col("dt_ptr").alias("old_ptr"), F.lit(True).alias("there"))
         both = outside.drop("content").join(lists, "dt_path", "left").join(old, "dt_path", "left")
@@ -372,6 +376,18 @@ class Vault:
         packed = sum(v["bsize"] for v in self.cut(until))
         return rollup.dedupe_stats(files, self.fragments(until), "k").drop("k").withColumn("packed_bytes", F.lit(packed).cast("bigint"))
 
+    def most_memory(self, until: int | None = None) -> int:
+        """Bytes that unpacking may take in one task, by the block that needs most; 0 for an empty store."""
+
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                needs = [codecs.codec_memory(m, n) for m, n in zip(*(batch.column(c).to_pylist() for c in range(2)))]
+                yield pa.RecordBatch.from_arrays([pa.array(needs, pa.int64())], ["bytes"])
+
+        return self.blocks(until).select("method", "usize").mapInArrow(run, "bytes bigint").agg(F.max("bytes").alias("m")).first()["m"] or 0
+
     def index_to(self, path: str) -> Vault:
         """A copy without payloads: everything can be listed and compared, nothing restored."""
         return self._copy(path, None, None, payload=False)

@@ -175,8 +175,9 @@ class History:
     def _entered(self, sets: DataFrame, levels: DataFrame) -> DataFrame:
         """Entries of whole sets (c, total, k, w, fresh): a row for each fragment from which on at least ``percent`` of the bytes remain; ``step`` parts those of common fragments by the total, 0 for others."""
         rows = sets.join(levels, "k", "left").withColumn("level", F.coalesce("level", F.lit(0)))
-        onward = Window.partitionBy("c").orderBy("level", F.desc("w"), "k").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-        rows = rows.withColumn("rest", F.sum("w").over(onward)).filter(100 * F.col("rest") >= self.percent * F.col("total"))
+        # What lies before is summed up row by row; a frame to the end would be summed up anew for each row.
+        before = Window.partitionBy("c").orderBy("level", F.desc("w"), "k").rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumn("rest", F.col("total") - F.coalesce(F.sum("w").over(before), F.lit(0))).filter(100 * F.col("rest") >= self.percent * F.col("total"))
         step = F.when(F.col("level") == 0, 0).otherwise(self._step(F.col("total")))
         return rows.select("k", step.alias("step"), "rest", "c", "total", "fresh")
 

@@ -355,3 +355,15 @@ ascii(nullif(regexp_extract(seg_comment, '^\\s*\\d{1,18}\\s+([uw])\\d{1,9}', 1),
 FROM f JOIN n ON n.seg_id = f.seg_id""")
 def stream_entries(spark, sf_dir):
     return rollup.stream_entries(table(spark, sf_dir, "segments"))
+
+
+@query("""WITH f AS (SELECT DISTINCT file_id, dt_path, dt_ptr FROM batch_files WHERE len(dt_ptr) > 0), c AS (SELECT frag_id, min(frag_id) OVER (PARTITION BY ht_sha1) AS one FROM fragments WHERE ht_sha1 IS NOT NULL),
+p AS (SELECT file_id, dt_path, generate_subscripts(dt_ptr, 1) AS pos, unnest(dt_ptr) AS frag_id FROM f), l AS (SELECT file_id, dt_path, list(one ORDER BY pos) AS ptr FROM p JOIN c USING (frag_id) GROUP BY 1, 2),
+g AS (SELECT ptr, count(*) AS copies FROM l GROUP BY 1 HAVING count(*) > 1) SELECT 0 AS archive_id, l.dt_path, g.copies FROM l JOIN g USING (ptr)""")
+def duplicate_staged(spark, sf_dir):
+    """Staged files of which another one has the same content, fragment by fragment, under whatever ids."""
+    one = table(spark, sf_dir, "fragments").filter("ht_sha1 is not null")
+    one = one.join(one.groupBy("ht_sha1").agg(F.min("frag_id").alias("one")), "ht_sha1").select("frag_id", "one")
+    uses = table(spark, sf_dir, "batch_files").select("file_id", "dt_path", "dt_ptr").distinct().select("file_id", "dt_path", F.posexplode("dt_ptr").alias("pos", "frag_id"))
+    files = uses.join(one, "frag_id").groupBy("file_id", "dt_path").agg(F.sort_array(F.collect_list(F.struct("pos", "one"))).alias("s"))
+    return compare.twins(files.select(F.lit(0).alias("archive_id"), "dt_path", F.col("s.one").alias("dt_ptr")))

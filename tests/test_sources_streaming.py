@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vaultframe.functions.codecs import header, pack_bytes, scan_packed
+from vaultframe.plans.store_queries import stream_dedupe
 from vaultframe.session import scratch_path
 from vaultframe.sources import files
 from vaultframe.sources.vault import Vault
@@ -109,6 +110,23 @@ def test_dedupe_against_table(spark, source):
     assert sorted(got) == sorted({r[0] for r in rows})
 
 
+@pytest.mark.parametrize("form", ["file", "folder", "partitions"])
+def test_dedupe_of_a_table_in_any_form(spark, tmp_path, form):
+    """The table may be one file, a folder of files or of partitions; other tables, in any form, lie beside it."""
+    keys = [None if k % 13 == 0 else f"k{k % 70}" if k % 10 else "k1" for k in range(500)]
+    segments = spark.createDataFrame([(k, key, k % 3) for k, key in enumerate(keys)], "seg_id bigint, ht_sha1 string, origin int")
+    path = tmp_path / "segments.parquet"
+    writer = segments.repartition(1 if form == "file" else 6).write
+    (writer.partitionBy("origin") if form == "partitions" else writer).parquet(str(tmp_path / "written" if form == "file" else path))
+    if form == "file":
+        next((tmp_path / "written").glob("part-*")).rename(path)
+    other = spark.createDataFrame([(1, "other", 1)], "seg_id bigint, ht_sha1 string, origin int")
+    other.write.partitionBy("origin").parquet(str(tmp_path / "entries.parquet"))
+    other.write.parquet(str(tmp_path / "blocks.parquet"))
+    got = stream_dedupe(spark, str(tmp_path))
+    assert got.columns == ["ht_sha1"] and sorted(r[0] for r in got.collect()) == sorted({k for k in keys if k is not None})
+
+
 def test_windows_and_bounded_state(spark, source):
     stream, rows = source
     for name, df, mode in (("w", arrivals(stream.withColumn("ht_usize", F.col("n")), "ts", "1 minute", "1 hour"), "complete"), ("d", dedupe_within(stream, ["key"], "ts", "2 hours"), "append")):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vaultframe.functions import codecs, machine
-from vaultframe.session import scratch_path, spread, table
+from vaultframe.session import scratch_path, spread, stream_table, table
 from vaultframe.sources.vault import Selection, Vault
 from vaultframe.streaming.journal import dedupe_against, deduped
 
@@ -112,8 +112,7 @@ def program_over_keys(spark, sf_dir):
 
 @query("SELECT DISTINCT ht_sha1 FROM segments WHERE ht_sha1 IS NOT NULL")
 def stream_dedupe(spark, sf_dir):
-    schema = table(spark, sf_dir, "segments").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "segments.parquet").parquet(sf_dir).select("seg_id", "ht_sha1")
+    stream = stream_table(spark, sf_dir, "segments").select("seg_id", "ht_sha1")
     target = scratch_path(spark, "stream-dedupe")
     dedupe_against(stream, "ht_sha1", target, target + "-checkpoint").awaitTermination()
     return deduped(spark, target).select("ht_sha1")

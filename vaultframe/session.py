@@ -89,6 +89,17 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream_table(spark, sf_dir: str, name: str):
+    """The rows of a table as a stream, be it one file or a folder of files, with its partitions.
+
+    A stream takes a plain path as a folder, and a file that is named by a pattern
+    as it is; only the table itself is listed, not what lies beside it.
+    """
+    path, fs = _file(spark, f"{sf_dir}/{name}.parquet")
+    reader = spark.readStream.schema(table(spark, sf_dir, name).schema)
+    return reader.parquet(f"{sf_dir}/{name}.parquet" if fs.getFileStatus(path).isDirectory() else f"{sf_dir}/{{{name}}}.parquet")
+
+
 def write_bucketed(rows, folder: str, buckets: int, *key: str):
     """Writes a table below a folder in buckets of a key, one sorted file each, and reads it back: joins and windows on the key then need no exchange."""
     name = f"vaultframe_{uuid.uuid4().hex}"
